@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltmark.llm import bpe, secrets, toxicity
+from siltmark.llm import bpe, decontamination, secrets, toxicity
 from siltmark.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents, net)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
@@ -23,5 +27,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_toxicity": op2_toxicity, "op6_decontamination": op6_decontamination, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
+ORACLES = {"op6_decontamination": decontamination.ORACLE}

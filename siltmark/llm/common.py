@@ -38,6 +38,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows, else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): rows (id, component), component = smallest id reached.
 

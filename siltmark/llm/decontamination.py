@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import BROADCAST_ROWS, stored
+from siltmark.llm.common import sized, stored
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
@@ -47,25 +47,16 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t"))
 
 
-def _small(df: DataFrame) -> bool:
-    """Whether ``df`` has few enough rows to be broadcast; looks at no more than that many."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
-def _hint(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if _small(df) else df
-
-
 def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """How often each of ``terms`` (one column, term) occurs in the texts; terms that do not occur are absent."""
     seen = _keyed(documents).select(F.explode(words(F.col("_t"))).alias("term"))
-    return seen.join(_hint(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    return seen.join(sized(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """The positional index for ``terms``: term, _d, _h (the document's key), pos (from 0)."""
     seen = _keyed(documents).select("_d", "_h", F.posexplode(words(F.col("_t"))).alias("pos", "term"))
-    return seen.join(_hint(terms), "term", "left_semi").select("term", "_d", "_h", "pos")
+    return seen.join(sized(terms), "term", "left_semi").select("term", "_d", "_h", "pos")
 
 
 def phrase_matches(documents: DataFrame, phrases: DataFrame, probes: int = PROBES) -> DataFrame:
@@ -87,14 +78,14 @@ def phrase_matches(documents: DataFrame, phrases: DataFrame, probes: int = PROBE
     index = stored(postings(documents, ranked.select(F.explode("p.term").alias("term")).distinct()), "postings")
 
     first = ranked.select(F.col("p")[0]["term"].alias("term"), F.col("p")[0]["place"].alias("place"), "window_id", "length", "p")
-    found = index.join(_hint(first), "term").select("_d", "_h", (F.col("pos") - F.col("place")).alias("start"), "window_id", "length", "p").where("start >= 0")
+    found = index.join(sized(first), "term").select("_d", "_h", (F.col("pos") - F.col("place")).alias("start"), "window_id", "length", "p").where("start >= 0")
     for k in range(1, probes):
         other = index.select("term", "_d", "_h", "pos")
         probe = F.coalesce(F.get("p", F.lit(k)), F.get("p", F.lit(0)))  # a phrase of fewer terms meets its first list again
         found = found.withColumn("term", probe["term"]).withColumn("pos", F.col("start") + probe["place"]).join(other, ["_d", "_h", "term", "pos"], "left_semi")
-    sites = found.select("_d", "_h", "start", "window_id").join(_hint(phrases), "window_id")
+    sites = found.select("_d", "_h", "start", "window_id").join(sized(phrases), "window_id")
     sites = stored(sites.groupBy("_d", "_h").agg(F.collect_set(F.struct("start", "length", "window_id", "words")).alias("sites")), "candidates")
-    texts = _keyed(documents).join(_hint(sites), ["_d", "_h"]).dropDuplicates(["_d", "_h"])
+    texts = _keyed(documents).join(sized(sites), ["_d", "_h"]).dropDuplicates(["_d", "_h"])
     texts = texts.withColumn("w", words(F.col("_t")))
     exact = F.filter("sites", lambda s: F.slice(F.col("w"), s["start"] + 1, s["length"]) == s["words"])
     return texts.select("_d", "_h", F.explode(F.transform(exact, lambda s: F.struct(s["start"], s["length"], s["window_id"]))).alias("s")).select("_d", "_h", "s.*")
@@ -137,7 +128,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     spans = hits.groupBy("_d", "_h", "start").agg(F.max("length").alias("length"))
     spans = spans.withColumn("done", F.coalesce(F.max(end).over(before), F.lit(0)))
     n_hit = spans.groupBy("_d", "_h").agg(F.sum(F.greatest(end - F.greatest("start", "done"), F.lit(0))).alias("n_hit"))
-    listed = hits.select("_d", "_h", "window_id").distinct().join(_hint(cut.select("window_id", "items")), "window_id")
+    listed = hits.select("_d", "_h", "window_id").distinct().join(sized(cut.select("window_id", "items")), "window_id")
     listed = listed.select("_d", "_h", F.explode("items").alias("item")).groupBy("_d", "_h").agg(F.array_sort(F.collect_set("item")).alias("items"))
     verdicts = stored(n_hit.join(listed, ["_d", "_h"], "left"), "verdicts")
     rows = documents.select("doc_id", F.col("text").cast("string").alias("_t"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltmark.llm import bpe, decontamination, secrets, toxicity
+from siltmark.llm import bpe, decontamination, near_dedup, secrets, toxicity
 from siltmark.llm.common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     net = toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels"))
@@ -27,5 +31,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op6_decontamination": op6_decontamination, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
-ORACLES = {"op6_decontamination": decontamination.ORACLE}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_toxicity": op2_toxicity, "op6_decontamination": op6_decontamination, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
+ORACLES = {"op1_near_dedup": near_dedup.ORACLE, "op6_decontamination": decontamination.ORACLE}

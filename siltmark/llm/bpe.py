@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 CACHE_PIECES = 300_000
 #: Entries of a worker's cache of answers for two tokens side by side.
 CACHE_PAIRS = 1_000_000
+#: Entries of a worker's table of prefixes, and bytes of a piece beyond which it has a table of its own.
+CACHE_PREFIXES, LONG_PIECE = 800_000, 96
 #: Above every rank.
 EVERY = 1 << 60
 
@@ -129,27 +131,74 @@ class PrefixTable:
 
 
 class PieceCache(dict):
-    """Piece of text -> its ids as little-endian 32-bit bytes."""
+    """Piece of text -> its ids as little-endian 32-bit bytes.
+
+    Pieces share one table of prefixes: a new piece is walked only from the longest prefix that is known.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.prefixes: dict[bytes, int] = {b"": -2}
+        self.written = [t.to_bytes(4, "little") for t in range(max(vocabulary.bytes_of, default=-1) + 1)]
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode("utf-8")
         token = self.vocabulary.ranks.get(data)
-        if token is None:
+        if token is not None:
+            out = self.written[token]
+        elif len(data) > LONG_PIECE:
             prefix = PrefixTable(self.vocabulary)
             prefix.append(data)
-            ids = prefix.tokens()
+            out = b"".join([self.written[t] for t in prefix.tokens()])
         else:
-            ids = [token]
-        out = b"".join(t.to_bytes(4, "little") for t in ids)
+            out = self._walk(data)
         if len(self) >= CACHE_PIECES:
             self.clear()
         self[piece] = out
         return out
 
+    def _walk(self, data: bytes) -> bytes:
+        last, vocabulary = self.prefixes, self.vocabulary
+        suffix, pairs, adjacent = vocabulary.suffixes.get, vocabulary.pairs, vocabulary.adjacent
+        whole = vocabulary.whole
+        if len(last) > CACHE_PREFIXES:
+            last.clear()
+            last[b""] = -2
+        if len(pairs) > CACHE_PAIRS:
+            pairs.clear()
+        known = len(data)
+        while data[:known] not in last:
+            known -= 1
+        for end in range(known + 1, len(data) + 1):
+            found, begin = -1, end
+            while begin > 0:
+                begin -= 1
+                token = suffix(data[begin:end])
+                if token is None:
+                    break
+                if token < 0:
+                    continue
+                before = last[data[:begin]]
+                if before == -2:
+                    good = token in whole
+                elif before == -1:
+                    continue
+                else:
+                    good = pairs.get(before << 32 | token)
+                    if good is None:
+                        pairs[before << 32 | token] = good = token in whole and adjacent(before, token)
+                if good:
+                    found = token
+                    break
+            last[data[:end]] = found
+        out, end, bytes_of = [], len(data), vocabulary.bytes_of
+        while end > 0:
+            token = last[data[:end]]
+            out.append(self.written[token])
+            end -= len(bytes_of[token])
+        return b"".join(out[::-1])
+
 
 class Codec:
     """Encoder and decoder of whole texts for one vocabulary file and one splitting pattern."""

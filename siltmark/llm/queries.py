@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltmark.llm import bpe, decontamination, near_dedup, secrets, toxicity
+from siltmark.llm import bpe, decontamination, near_dedup, secrets, sentence_spans, sharding, toxicity
 from siltmark.llm.common import table
 
 
@@ -19,6 +19,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents, net)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,5 +39,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_toxicity": op2_toxicity, "op6_decontamination": op6_decontamination, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
-ORACLES = {"op1_near_dedup": near_dedup.ORACLE, "op6_decontamination": decontamination.ORACLE}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_toxicity": op2_toxicity, "op3_sharding": op3_sharding, "op5_sentence_spans": op5_sentence_spans, "op6_decontamination": op6_decontamination, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
+ORACLES = {"op3_sharding": sharding.ORACLE, "op1_near_dedup": near_dedup.ORACLE, "op6_decontamination": decontamination.ORACLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltmark.llm import bpe, decontamination, near_dedup, secrets, sentence_spans, sharding, toxicity
+from siltmark.llm import bpe, decontamination, html_extraction, near_dedup, secrets, sentence_spans, sharding, spotsigs, toxicity
 from siltmark.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edit_likeness(table(spark, sf_dir, "documents"))
+
+
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -35,9 +39,28 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_toxicity": op2_toxicity, "op3_sharding": op3_sharding, "op5_sentence_spans": op5_sentence_spans, "op6_decontamination": op6_decontamination, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
-ORACLES = {"op3_sharding": sharding.ORACLE, "op1_near_dedup": near_dedup.ORACLE, "op6_decontamination": decontamination.ORACLE}
+QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_sharding": op3_sharding,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_sentence_spans": op5_sentence_spans,
+    "op6_decontamination": op6_decontamination,
+    "op8_bpe": op8_bpe,
+    "op9_html": op9_html,
+    "op10_secrets": op10_secrets,
+}
+ORACLES = {
+    "op1_near_dedup": near_dedup.ORACLE,
+    "op3_sharding": sharding.ORACLE,
+    "op4_fingerprints": spotsigs.ORACLE,
+    "op6_decontamination": decontamination.ORACLE,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltmark.llm import bpe, decontamination, html_extraction, near_dedup, secrets, sentence_spans, sharding, spotsigs, toxicity
+from siltmark.llm import bpe, decontamination, html_extraction, near_dedup, secrets, sentence_spans, sharding, spotsigs, suffix_dedup, toxicity
 from siltmark.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_sentence_spans": op5_sentence_spans,
     "op6_decontamination": op6_decontamination,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_bpe": op8_bpe,
     "op9_html": op9_html,
     "op10_secrets": op10_secrets,

@@ -98,25 +98,31 @@ def entries(symbols: np.ndarray) -> np.ndarray:
     return out.reshape(len(symbols), -1)
 
 
+def first_entry(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of signatures (n, K) the number of the first entry that they share (0 if none)."""
+    same = (a == b).reshape(len(a), CHUNKS, CHUNK)
+    # all places but one agree: all but at most one do, and the others of the gap
+    shared = (same.sum(axis=2)[:, :, None] - same) == CHUNK - 1
+    return shared.reshape(len(a), -1).argmax(axis=1)
+
+
 def signatures(documents: DataFrame) -> DataFrame:
-    """For every document: doc_id, n_shingles, c1, c2 (digest of the set), sig (K * B bits) and low (8 of each B), null if empty."""
+    """For every document: doc_id, n_shingles, c1, c2 (digest of the set), sig (K * B bits; null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, second, sigs, lows = [], [], [], [], []
+            sizes, first, second, sigs = [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py())
                 digest = xxhash.xxh3_128_intdigest(found.tobytes())
                 sizes.append(len(found))
                 first.append((digest >> 64) - (1 << 63))
                 second.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                own = signature(found) if len(found) else None
-                sigs.append(None if own is None else own.tobytes())
-                lows.append(None if own is None else own.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sigs, pa.binary()), pa.array(lows, pa.binary())], ["doc_id", "n_shingles", "c1", "c2", "sig", "low"])
+                sigs.append(signature(found).tobytes() if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "c1", "c2", "sig"])
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, sig binary, low binary")
+    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, sig binary")
 
 
 def _forest(n: int, neighbours) -> list[tuple[int, int]]:
@@ -150,10 +156,11 @@ def _deal(rows: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
 
 
 def candidate_edges(sigs: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect exactly the ids which pairs within MAX_DISTANCE connect. ``sigs``: id, sig, low.
+    """Edges (a, b) that connect exactly the ids which pairs within MAX_DISTANCE connect. ``sigs``: id, sig.
 
     Entries of one document alone are dropped before signatures travel. Within an entry's bucket a spanning forest
-    of the near pairs is returned, never all of them.
+    of the near pairs is returned, never all of them; and of that only what no earlier entry connects already: two
+    signatures that share an earlier entry are near there too.
     """
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,30 +176,32 @@ def candidate_edges(sigs: DataFrame) -> DataFrame:
     keyed = sigs.mapInArrow(enter, "key bigint, id bigint")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"))
     met = _deal(keyed, shared.select("key", "n", F.col("n").alias("weight")), BLOCK_ROWS)
-    # 8 bits of each symbol travel: chance agreement only brings signatures nearer
-    met = met.select("key", "part", "id").join(sigs.select("id", "low"), "id")
+    met = met.select("key", "part", "id").join(sigs.select("id", "sig"), "id")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids, sig in _runs(batches):
-            symbols = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, K)
+            symbols = np.frombuffer(b"".join(sig), np.uint16).reshape(-1, K)
             heads = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
             ends = np.append(heads[1:], len(keys))
             lead = np.repeat(heads, ends - heads)
             ok = (symbols != symbols[lead]).sum(axis=1) <= MAX_DISTANCE
-            a, b = [ids[lead[ok]]], [ids[ok]]
+            a, b = [lead[ok]], [np.flatnonzero(ok)]
             for h in np.unique(lead[~ok]):  # some member is far from its bucket's first
                 e = ends[np.searchsorted(heads, h)]
                 if e - h > 2:
                     own = symbols[h:e]
-                    for i, j in _forest(e - h, lambda i, rest, own=own: (own[rest] != own[i]).sum(axis=1) <= MAX_DISTANCE):
-                        a.append(ids[h + i : h + i + 1])
-                        b.append(ids[h + j : h + j + 1])
+                    found = np.array(_forest(e - h, lambda i, rest, own=own: (own[rest] != own[i]).sum(axis=1) <= MAX_DISTANCE), np.int64).reshape(-1, 2)
+                    a.append(h + found[:, 0])
+                    b.append(h + found[:, 1])
             a, b = np.concatenate(a), np.concatenate(b)
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            edges = np.unique(np.stack([low, high], axis=1)[low != high], axis=0)
+            new = ids[a] != ids[b]
+            a, b = a[new], b[new]
+            new = first_entry(symbols[a], symbols[b]) == (keys[a, 0] >> 48)
+            a, b = ids[a[new]], ids[b[new]]
+            edges = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
-    parts = met.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "id", "low")
+    parts = met.repartition("key", "part").sortWithinPartitions("key", "part", "id").select("key", "part", "id", "sig")
     return parts.mapInArrow(near, "a bigint, b bigint").distinct()
 
 
@@ -279,8 +288,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     rows = stored(signatures(documents), "signatures")
     full = rows.where("doc_id is not null and n_shingles > 0")
-    classes = stored(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.min("low").alias("low"), F.min("n_shingles").alias("n")), "classes")
-    clusters = components(candidate_edges(classes.select("id", "sig", "low").distinct()), "candidate_clusters")
+    classes = stored(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n")), "classes")
+    clusters = components(candidate_edges(classes.select("id", "sig").distinct()), "candidate_clusters")
     clusters = clusters.withColumnRenamed("component", "key").join(classes.groupBy("id").agg(F.max("n").alias("n")), "id")
     # the text of a class is read from the row, or rows, of its smallest id
     texts = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))

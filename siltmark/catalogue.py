@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltmark.plans import kv
+from siltmark.plans import keyspace, kv
 
 QUERIES, ORACLES = {}, {}
-for _module in (kv,):
+for _module in (kv, keyspace):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

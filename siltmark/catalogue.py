@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltmark.plans import keyspace, kv
+from siltmark.plans import crdt, keyspace, kv
 
 QUERIES, ORACLES = {}, {}
-for _module in (kv, keyspace):
+for _module in (kv, keyspace, crdt):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

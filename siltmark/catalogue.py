@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltmark.plans import crdt, keyspace, kv
+from siltmark.plans import crdt, history, keyspace, kv
 
 QUERIES, ORACLES = {}, {}
-for _module in (kv, keyspace, crdt):
+for _module in (kv, keyspace, crdt, history):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

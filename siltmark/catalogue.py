@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltmark.plans import crdt, history, keyspace, kv
+from siltmark.plans import crdt, history, keyspace, kv, search, swarm, trees
 
 QUERIES, ORACLES = {}, {}
-for _module in (kv, keyspace, crdt, history):
+for _module in (kv, keyspace, crdt, history, search, swarm, trees):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -39,12 +39,13 @@ def build(leaves: DataFrame, count: int) -> DataFrame:
     """All complete nodes over ``count`` leaves (idx, hash): level, offset, hash.
 
     A level has half the rows of the one below, grouped by offset; a node whose sibling is absent ends its branch.
+    Levels are kept while the next ones are made, or each would be hashed anew from the leaves.
     """
-    level = leaves.select(F.col("idx").alias("offset"), "hash")
+    level = leaves.select(F.col("idx").alias("offset"), "hash").cache()
     out = level.select(F.lit(0).alias("level"), "offset", "hash")
     for n in range(1, count.bit_length()):
         pair = level.groupBy(F.floor(F.col("offset") / 2).alias("o")).agg(F.min_by("hash", "offset").alias("l"), F.max_by("hash", "offset").alias("r"), F.count("*").alias("n"))
-        level = pair.where("n = 2").select(F.col("o").alias("offset"), parent_hash(F.col("l"), F.col("r")).alias("hash"))
+        level = pair.where("n = 2").select(F.col("o").alias("offset"), parent_hash(F.col("l"), F.col("r")).alias("hash")).cache()
         out = out.unionByName(level.select(F.lit(n).alias("level"), "offset", "hash"))
     return out
 

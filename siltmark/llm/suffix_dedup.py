@@ -103,30 +103,32 @@ def _hash_rows(rows: np.ndarray) -> np.ndarray:
     return _mix((words * _ODD[: words.shape[1]]).sum(axis=1, dtype=np.uint64))
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and rank of ``symbols`` (0 ends a text, bytes are 1 to 256), by Larsson-Sadakane refinement.
+def suffix_array(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order and rank over texts of one width, each closed by 0, by Larsson-Sadakane refinement.
 
-    Sorted by 7 symbols at first; then every group of equals is sorted by the rank of what follows, doubling the
-    depth, until ``depth`` is reached; groups of one are not touched again. What is still equal keeps text order.
+    Sorted by 7 symbols (0 to 256) at first; then every group of equals is sorted by the rank of what follows,
+    doubling the depth, until all of a text is seen; groups of one are not touched again. Suffixes do not run on into
+    the next text: equal ones keep the order of their texts.
     """
-    n = len(symbols)
-    padded = np.concatenate([symbols, np.zeros(2 * depth + 8, symbols.dtype)]).astype(np.int64)
-    key = np.zeros(n, np.int64)
+    texts, width = rows.shape
+    n = rows.size
+    padded = np.concatenate([rows, np.zeros((texts, 7), rows.dtype)], axis=1).astype(np.int64)
+    key = np.zeros((texts, width), np.int64)
     for i in range(7):
-        key = key << 9 | padded[i : i + n]
+        key = key << 9 | padded[:, i : i + width]
+    key = key.ravel()
     order = np.argsort(key, kind="stable")
     head = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    rank = np.empty(n + 2 * depth + 8, np.int64)
-    rank[n:] = -1
+    rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     h = 7
-    while h < depth:
+    while h < width:
         size = np.diff(np.append(np.flatnonzero(head), n))
         slots = np.flatnonzero(np.repeat(size > 1, size))
         if not len(slots):
             break
         at = order[slots]
-        key = rank[at] * (n + 1) + rank[at + h] + 1
+        key = rank[at] * (n + 1) + np.where(at % width + h < width, rank[np.minimum(at + h, n - 1)] + 1, 0)
         sub = np.argsort(key, kind="stable")
         order[slots] = at = at[sub]
         key = key[sub]
@@ -134,7 +136,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
         head[slots] = fresh
         rank[at] = np.maximum.accumulate(np.where(fresh, slots, 0))
         h *= 2
-    return order, rank[:n]
+    return order, rank
 
 
 def kasai(rows: np.ndarray, order: np.ndarray, columns: int) -> np.ndarray:
@@ -171,7 +173,7 @@ def smallest_document(rows: np.ndarray, documents: np.ndarray) -> tuple[np.ndarr
     symbols = np.zeros((len(rows), SPAN + 1), np.int16)
     symbols[:, :SPAN] = rows[:, :SPAN].astype(np.int16) + 1
     symbols[np.arange(SPAN + 1) >= (count + LENGTH - 1)[:, None]] = 0
-    order, _ = suffix_array(symbols.ravel(), SPAN + 1)
+    order, _ = suffix_array(symbols)
     common = kasai(symbols, order, STARTS)
     row, column = order // (SPAN + 1), order % (SPAN + 1)
     whole = column < count[row]

@@ -104,13 +104,14 @@ def _hash_rows(rows: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and rank over texts of one width, each closed by 0, by Larsson-Sadakane refinement.
+    """Suffix order and rank over texts of one width, each closed by zeros, by Larsson-Sadakane refinement.
 
     Sorted by 7 symbols (0 to 256) at first; then every group of equals is sorted by the rank of what follows,
-    doubling the depth, until all of a text is seen; groups of one are not touched again. Suffixes do not run on into
-    the next text: equal ones keep the order of their texts.
+    doubling the depth, until all of a text is seen; groups of one are not touched again. A suffix ends at its first
+    zero: equal ones keep the order of their texts, as Kasai's rule needs.
     """
     texts, width = rows.shape
+    ends = np.repeat((rows != 0).sum(axis=1), width)
     n = rows.size
     padded = np.concatenate([rows, np.zeros((texts, 7), rows.dtype)], axis=1).astype(np.int64)
     key = np.zeros((texts, width), np.int64)
@@ -128,7 +129,7 @@ def suffix_array(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(slots):
             break
         at = order[slots]
-        key = rank[at] * (n + 1) + np.where(at % width + h < width, rank[np.minimum(at + h, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + np.where(at % width + h <= ends[at], rank[np.minimum(at + h, n - 1)] + 1, 0)
         sub = np.argsort(key, kind="stable")
         order[slots] = at = at[sub]
         key = key[sub]

@@ -2,6 +2,9 @@
 
 Every run of several consecutive sentences is hashed; runs are joined over the whole corpus; the sentences of a run
 that occurred before - in a document of smaller id, or earlier in the same one - are removed.
+
+Hashes travel in packed arrays. A batch of documents settles its own repeats and sends each hash once, so a passage
+that very many documents share costs the join one record a batch.
 """
 
 from __future__ import annotations
@@ -15,8 +18,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import stored
-
 #: A span is the shortest run from a sentence on with at least so many sentences and so many words.
 SPAN_SENTENCES, SPAN_WORDS = 3, 20
 #: A sentence ends after . ! or ?, at a line's end, and after one word in so many, chosen by the word's hash: so text
@@ -60,9 +61,9 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
     return out
 
 
-def spans(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, int]]:
-    """Spans over sentences: (first, one past the last, hash). A document of less than one span has none."""
-    digests = [xxhash.xxh64_digest(s[2].encode("utf-8", "replace")) for s in found]
+def spans(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, bytes]]:
+    """Spans over sentences: (first, one past the last, 128-bit hash). A document of less than one span has none."""
+    digests = [xxhash.xxh3_128_digest(s[2].encode("utf-8", "replace")) for s in found]
     counts = [s[3] for s in found]
     out, end, total = [], 0, 0
     for i in range(len(found)):
@@ -71,7 +72,7 @@ def spans(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, int]]:
             end += 1
         if end - i < SPAN_SENTENCES or total < SPAN_WORDS:
             break
-        out.append((i, end, xxhash.xxh64_intdigest(b"".join(digests[i:end])) - (1 << 63)))
+        out.append((i, end, xxhash.xxh3_128_digest(b"".join(digests[i:end]))))
         total -= counts[i]
     return out
 
@@ -79,34 +80,104 @@ def spans(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, int]]:
 _FIRST = -(1 << 63)
 
 
-def repeated_spans(documents: DataFrame) -> DataFrame:
-    """Spans that occurred before: _d, _h (document's key), first (sentence), last (one past). No span text travels.
+_SENT = pa.schema([("part", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("docs", pa.binary()), ("spans", pa.binary())])
+_SENT_SQL = "part bigint, d bigint, h bigint, docs binary, spans binary"
+_DOC = np.dtype([("d", "<i8"), ("h", "<i8")])
+#: 96 bits of a hash, the document's place in the list beside, first sentence, number of sentences.
+_SPAN = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<u2"), ("first", "<u4"), ("n", "<u2")])
+_PLACE = np.dtype([("first", "<u4"), ("n", "<u2")])
+
+
+def _answers(docs: np.ndarray, found: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Places by document: (d, h, packed places)."""
+    order = np.argsort(found["doc"], kind="stable")
+    found = found[order]
+    heads = np.flatnonzero(np.concatenate([[True], found["doc"][1:] != found["doc"][:-1]])[: len(found)])
+    out = []
+    for s, e in zip(heads, np.append(heads[1:], len(found))[: len(heads)], strict=True):
+        places = np.zeros(e - s, _PLACE)
+        places["first"], places["n"] = found["first"][s:e], found["n"][s:e]
+        out.append((int(docs["d"][found["doc"][s]]), int(docs["h"][found["doc"][s]]), places.tobytes()))
+    return out
 
-    Hashes are grouped with a partial minimum, so a passage in very many documents costs one row a task; the join
-    back is on the hash, which Spark divides when one is frequent.
-    """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, first, last, hashes = [], [], [], []
-            for at, text in enumerate(batch.column(2)):
-                for i, e, h in spans(sentences(text.as_py() or "")):
-                    rows.append(at)
-                    first.append(i)
-                    last.append(e)
-                    hashes.append(h)
-            rows = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(hashes, pa.int64())], ["_d", "_h", "first", "last", "span"])
-
-    found = _keyed(documents).mapInArrow(cut, "_d bigint, _h bigint, first int, last int, span bigint")
-    found = stored(found, "spans")
-    seen = found.groupBy("span").agg(F.count("*").alias("n"), F.min("_d").alias("_d0")).where("n > 1")
-    # the first place is the smallest (document, sentence); ids decide, and sentences among equal ids
-    place = found.join(seen.select("span", "_d0"), "span")
-    start = place.where("_d = _d0").groupBy("span").agg(F.min("first").alias("_f0"))
-    again = place.where("_d > _d0").select("_d", "_h", "first", "last")
-    inside = place.where("_d = _d0").join(start, "span").where("first > _f0").select("_d", "_h", "first", "last")
-    return again.unionByName(inside)
+def _later(docs: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans sorted by hash, document and place; whether each stands after the first of its hash."""
+    found = found[np.lexsort((found["first"], docs["d"][found["doc"]], found["b"], found["a"]))]
+    d = docs["d"][found["doc"]]
+    head = np.concatenate([[True], (found["a"][1:] != found["a"][:-1]) | (found["b"][1:] != found["b"][:-1])])[: len(found)]
+    lead = np.maximum.accumulate(np.where(head, np.arange(len(found)), 0)) if len(found) else np.zeros(0, np.int64)
+    return found, (d > d[lead]) | (d == d[lead]) & (found["first"] > found["first"][lead])
+
+
+def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _send(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 10_000):
+                batch = whole.slice(at, 10_000)
+                docs = np.zeros(batch.num_rows, _DOC)
+                docs["d"], docs["h"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                found, hashes = [], []
+                for i, text in enumerate(batch.column(2)):
+                    for first, last, digest in spans(sentences(text.as_py() or "")):
+                        found.append((i, first, last - first))
+                        hashes.append(digest)
+                packed = np.zeros(len(found), _SPAN)
+                if found:
+                    columns = np.array(found, np.int64)
+                    digest = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
+                    packed["a"], packed["b"], packed["doc"], packed["first"], packed["n"] = digest[:, 0], digest[:, 1] >> np.uint64(32), columns[:, 0], columns[:, 1], np.minimum(columns[:, 2], 65535)
+                packed, later = _later(docs, packed)
+                out = [(-1 - d % parts, d, h, None, places) for d, h, places in _answers(docs, packed[later])]
+                packed = packed[~later]
+                part = (packed["a"] % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                for p in range(parts):
+                    chosen = packed[order[cuts[p] : cuts[p + 1]]]
+                    if len(chosen):
+                        used, place = np.unique(chosen["doc"], return_inverse=True)
+                        chosen["doc"] = place
+                        out.append((p, None, None, docs[used].tobytes(), chosen.tobytes()))
+                yield _packed(out, _SENT)
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("places", pa.binary())])
+    lists, found, base = [], [], 0
+    wide = np.dtype([(n, "<i8" if n == "doc" else _SPAN[n].str) for n in _SPAN.names])
+    for batch in batches:
+        passed = []
+        for part, d, h, docs, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part < 0:
+                passed.append((d, h, blob))
+                continue
+            own = np.frombuffer(blob, _SPAN).astype(wide)
+            own["doc"] += base
+            lists.append(np.frombuffer(docs, _DOC))
+            base += len(lists[-1])
+            found.append(own)
+        if passed:
+            yield _packed(passed, schema)
+    if found:
+        docs = np.concatenate(lists)
+        spans_, later = _later(docs, np.concatenate(found))
+        rows = _answers(docs, spans_[later])
+        for at in range(0, len(rows), 5000):
+            yield _packed(rows[at : at + 5000], schema)
+
+
+def repeated_spans(documents: DataFrame) -> DataFrame:
+    """Spans that occurred before, by document: d, h (its key), places (packed first sentence and number). No text travels."""
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = _keyed(documents).mapInArrow(_send(parts), _SENT_SQL)
+    return sent.repartition(parts, "part").mapInArrow(_meet, "d bigint, h bigint, places binary")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -123,26 +194,27 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     place in the text decides which span is first, and equal rows are treated alike. Other columns are ignored; an
     empty table gives no rows.
     """
-    gone = repeated_spans(documents).distinct().groupBy("_d", "_h").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
+    gone = repeated_spans(documents).groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list("places").alias("places"))
     rows = documents.select("doc_id", F.col("text").cast("string").alias("_t")).select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_FIRST)).alias("_d"), F.xxhash64("_t").alias("_h"), "_t")
-    rows = rows.join(gone, ["_d", "_h"], "left").select("doc_id", "_t", F.col("gone.first").alias("first"), F.col("gone.last").alias("last"))
+    rows = rows.join(gone, ["_d", "_h"], "left").select("doc_id", "_t", "places")
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, words, texts = [], [], [], []
-            for text, first, last in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                text, first = text.as_py() or "", first.as_py()
+            for text, places in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text = text.as_py() or ""
                 found = sentences(text)
                 counts.append(len(found))
-                if not first:
+                if not places:
                     removed.append(0)
                     words.append(0)
                     texts.append(text)
                     continue
                 edge = np.zeros(len(found) + 1, np.int64)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, last.as_py(), -1)
+                gone = np.frombuffer(b"".join(places), _PLACE)
+                np.add.at(edge, gone["first"].astype(np.int64), 1)
+                np.add.at(edge, gone["first"].astype(np.int64) + gone["n"], -1)
                 covered = np.cumsum(edge[:-1]) > 0
                 removed.append(int(covered.sum()))
                 words.append(sum(s[3] for s, c in zip(found, covered, strict=True) if c))

@@ -437,7 +437,7 @@ def _drop_bytes(keep_text: bool):
 
 def _groups(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    for h, e in zip(heads, np.append(heads[1:], len(values)), strict=True):
+    for h, e in zip(heads, np.append(heads[1:], len(values))[: len(heads)], strict=True):
         yield int(values[h]), int(h), int(e)
 
 

@@ -18,8 +18,13 @@ def test_ordered_delivery(spark, tmp_path):
     for i, (s, q, p) in enumerate(packets):
         (tmp_path / f"{i:03}.json").write_text(json.dumps({"src": s, "seq": q, "payload": p}))
     source = spark.readStream.schema("src bigint, seq bigint, payload string").option("maxFilesPerTrigger", 2).json(str(tmp_path))
-    query = streaming.delivered(source).writeStream.format("memory").queryName("delivered").outputMode("append").start()
-    run(query, "delivered")
+    # a processing-time timeout asks for another batch for ever, so that processAllAvailable() would not return
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        query = streaming.delivered(source).writeStream.format("memory").queryName("delivered").outputMode("append").start()
+        run(query, "delivered")
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     out = spark.table("delivered").where("status = 'delivered'").collect()
     assert sorted((r.src, r.seq, r.payload) for r in out) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "x"), (2, 1, "y")]
 

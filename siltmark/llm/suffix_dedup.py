@@ -202,7 +202,24 @@ def _merge(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def resolve(rows: np.ndarray, documents: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which strings of each text start in a smaller document: bits of an unsigned number for each text."""
+    """Which strings of each text start in a smaller document: bits of an unsigned number for each text.
+
+    Equal texts are sorted once, under the smallest of their documents; the others' strings all start there.
+    """
+    digest = _hash_rows(rows)
+    order = np.lexsort((documents, digest))
+    head = np.flatnonzero(np.concatenate([[True], digest[order][1:] != digest[order][:-1]]))
+    first = np.repeat(order[head], np.diff(np.append(head, len(order))))
+    first = np.where((rows[order] == rows[first]).all(axis=1), first, order)
+    kept, place = np.unique(first, return_inverse=True)
+    low = np.empty((len(rows), STARTS), np.int64)
+    low[order] = smallest_documents(rows[kept], documents[kept], keys[kept])[place]
+    mask = ((low < documents[:, None]) @ (np.uint32(1) << np.arange(STARTS, dtype=np.uint32))).astype(np.uint32)
+    return mask & ((np.uint32(1) << rows[:, SPAN].astype(np.uint32)) - np.uint32(1))
+
+
+def smallest_documents(rows: np.ndarray, documents: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each string of each text the smallest document that holds it, by shards of whole anchors."""
     order = np.lexsort((documents, keys))
     rows, documents, keys = rows[order], documents[order], keys[order]
     low = np.empty((len(rows), STARTS), np.int64)
@@ -228,9 +245,8 @@ def resolve(rows: np.ndarray, documents: np.ndarray, keys: np.ndarray) -> np.nda
                     closed = np.concatenate([part[own, j : j + LENGTH], np.ones((len(own), 1), np.uint8)], axis=1)
                     low[a + own, j] = smallest[np.searchsorted(strings, np.ascontiguousarray(closed).view(f"S{LENGTH + 1}").ravel())]
         at = end
-    mask = ((low < documents[:, None]) @ (np.uint32(1) << np.arange(STARTS, dtype=np.uint32))).astype(np.uint32)
-    out = np.empty(len(rows), np.uint32)
-    out[order] = mask
+    out = np.empty_like(low)
+    out[order] = low
     return out
 
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ KINDS = ("assign", "access", "hex", "identifier", "opaque", "endpoint")
 BASE = KINDS[:3]
 
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._+-]{3,})", re.I | re.A)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|(?<![A-Za-z0-9.-])(?:[a-z0-9-]+\.)+[a-z]{2,}:\d{2,5}(?!\d))")
 #: A blank line ends a scope.
 SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
@@ -61,43 +62,45 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     """Weak candidates whose complementary parts co-occur, as base_spans gives them.
 
     Parts: identifiers (access spans and user names), secrets (assign and hex spans, and random strings) and
-    endpoints. An interval join inside each scope pairs every secret with the nearest identifier within REACH;
-    the two make a credential if one is strong or an endpoint is in reach too. Its weak parts are reported.
+    endpoints. An interval join inside each scope pairs every secret with every identifier within REACH; two make
+    a credential if one is strong or an endpoint is in reach of the secret too. The weak parts of all credentials
+    are reported, and the endpoints in reach of their secrets.
     """
     if not base and "://" not in text and not IDENTIFIER.search(text):
         return []
-    taken = [(s, e) for s, _, e in base]
-    starts = [s for s, _ in taken]
 
-    def free(s: int, e: int) -> bool:
-        i = bisect_left(starts, e)
-        return not any(a < e and s < b for a, b in taken[max(0, i - 3) : i])
+    def clear_of(spans: list[tuple]):
+        """Whether a span overlaps none of the sorted ``spans``, which may overlap each other."""
+        starts, furthest = [x[0] for x in spans], list(accumulate((x[1] for x in spans), max))
+        return lambda s, e: not (i := bisect_left(starts, e)) or furthest[i - 1] <= s
+
+    free = clear_of([(s, e) for s, _, e in base])
 
     identifiers = [(s, e, True) for s, k, e in base if k == 1] + [(*m.span(), False) for m in IDENTIFIER.finditer(text) if free(*m.span())]
     if not identifiers:
         return []
     endpoints = [m.span() for m in ENDPOINT.finditer(text)]
+    identifiers.sort()
     secrets = [(s, e, True) for s, k, e in base if k != 1]
+    no_identifier, no_endpoint = clear_of(identifiers), clear_of(endpoints)
     for m in OPAQUE.finditer(text):
-        s, e = m.span()
-        if free(s, e) and not any(a < e and s < b for a, b, _ in identifiers) and not any(a < e and s < b for a, b in endpoints) and _random(m.group()):
-            secrets.append((s, e, False))
-    identifiers.sort()
-    secrets.sort()
+        if free(*m.span()) and no_identifier(*m.span()) and no_endpoint(*m.span()) and _random(m.group()):
+            secrets.append((*m.span(), False))
     ends = [m.start() for m in SCOPE_END.finditer(text)]
     scope = lambda at: bisect_left(ends, at)
-    found, id_starts, end_starts = set(), [x[0] for x in identifiers], [x[0] for x in endpoints]
+
+    def within(spans: list[tuple]):
+        """The spans that stand within REACH of one and in its scope; ``spans`` are sorted and do not overlap."""
+        starts, stops = [x[0] for x in spans], [x[1] for x in spans]
+        return lambda s, e: [x for x in spans[bisect_left(stops, s - REACH) : bisect_right(starts, e + REACH)] if scope(x[0]) == scope(s)]
+
+    found, identifiers_near, endpoints_near = set(), within(identifiers), within(endpoints)
     for s, e, strong in secrets:
-        near = [x for x in identifiers[max(0, bisect_left(id_starts, s) - 1) : bisect_left(id_starts, e) + 1] if scope(x[0]) == scope(s) and (x[0] - e if x[0] >= e else s - x[1]) <= REACH]
-        if not near:
-            continue
-        a, b, known = min(near, key=lambda x: (x[0] - e if x[0] >= e else s - x[1], x[0]))
-        i = bisect_left(end_starts, s)
-        sites = [x for x in endpoints[max(0, i - 1) : i + 1] if scope(x[0]) == scope(s) and (x[0] - e if x[0] >= e else s - x[1]) <= REACH]
-        if not (strong or known or sites):
+        sites = endpoints_near(s, e)
+        credentials = [x for x in identifiers_near(s, e) if strong or x[2] or sites]
+        if not credentials:
             continue
-        if not known:
-            found.add((a, 3, b))
+        found.update((a, 3, b) for a, b, known in credentials if not known)
         if not strong:
             found.add((s, 4, e))
         found.update((x, 5, y) for x, y in sites)

@@ -412,6 +412,40 @@ def test_linked_credentials():
     assert kinds("AKIA" + "Q7" * 8 + " Zk3vQ9xT1mB7wL5pR8sD2f") == ["opaque"]
 
 
+def linked_by_hand(text):
+    """All pairs of all parts, by the rule as it is written."""
+    base = secrets.base_spans(text)
+    over = lambda x, y: x[0] < y[1] and y[0] < x[1]
+    taken = [(s, e) for s, _, e in base]
+    ids = [(s, e, True) for s, k, e in base if k == 1] + [(*m.span(), False) for m in secrets.IDENTIFIER.finditer(text) if not any(over(m.span(), t) for t in taken)]
+    sites = [m.span() for m in secrets.ENDPOINT.finditer(text)]
+    found = [(s, e, True) for s, k, e in base if k != 1]
+    found += [(*m.span(), False) for m in secrets.OPAQUE.finditer(text) if secrets._random(m.group()) and not any(over(m.span(), t) for t in [*taken, *ids, *sites])]
+    scope = lambda x: sum(m.start() < x[0] for m in secrets.SCOPE_END.finditer(text))
+    near = lambda x, y: scope(x) == scope(y) and max(x[0] - y[1], y[0] - x[1]) <= secrets.REACH
+    out = set()
+    for x in found:
+        reached = [p for p in sites if near(p, x)]
+        for i in ids:
+            if near(i, x) and (i[2] or x[2] or reached):
+                out |= {(p[0], 5, p[1]) for p in reached} | ({(i[0], 3, i[1])} if not i[2] else set()) | ({(x[0], 4, x[1])} if not x[2] else set())
+    return sorted(out)
+
+
+def test_every_part_in_reach():
+    """A weak identifier beside a secret hides no strong one behind it; all endpoints and identifiers in reach count."""
+    strong, secret = "AKIA" + "Q7" * 8, "Zk3vQ9xT1mB7wL5pR8sD2fGh6JkN4bVc0XyZaWqE"
+    kinds = lambda t: [secrets.KINDS[k] for _, k, _ in secrets.linked_spans(t, secrets.base_spans(t))]
+    assert kinds(f"{strong} login: bob {secret}") == ["opaque"]
+    assert kinds(f"{strong} {secret * 8}") == ["opaque"]
+    assert kinds(f"login: bob user: eve {secret} https://a.example/1 https://b.example/2") == ["identifier", "identifier", "opaque", "endpoint", "endpoint"]
+    draw = np.random.default_rng(3)
+    parts = [strong, "login: bob", "user=eve_1", secret, secret * 5, "token=" + secret, "0a" * 12, "token: " + "/".join(["0a" * 9] * 6), "https://a.example/x", "db.example.com:5432", "\n\n", "word " * 30, "word " * 70]
+    for n in draw.integers(2, 25, 300):
+        text = " ".join(draw.choice(parts, n))
+        assert secrets.linked_spans(text, secrets.base_spans(text)) == linked_by_hand(text), text
+
+
 def test_masking(spark):
     data = [(1, "a password=abcdefghijklmn b"), (2, None), (3, "clean")]
     out = {r.doc_id: r for r in secrets.mask_secrets(frame(spark, data)).collect()}

@@ -21,43 +21,72 @@ from pyspark.sql import functions as F
 #: A span is the shortest run from a sentence on with at least so many sentences and so many words.
 SPAN_SENTENCES, SPAN_WORDS = 3, 20
 #: A sentence ends after . ! or ?, at a line's end, and after one word in so many, chosen by the word's hash: so text
-#: without sentence marks is cut too, and a passage is cut alike wherever it stands.
+#: without sentence marks is cut too, and a passage is cut alike wherever it stands. Of so many words in a row without
+#: any of these, the one of smallest hash ends a sentence, the first of equals: no sentence is longer.
+#: What stands outside a passage moves cuts only in its first WORD_CUT - 1 and last WORD_CUT words. A sentence that
+#: starts alike everywhere so begins with the word 2 * WORD_CUT - 1 (from 0) at the latest, and its span has at most
+#: SPAN_WORDS + WORD_CUT - 1 words: every passage of 50 words and more holds a span, and so does every document of
+#: SPAN_WORDS.
 WORD_CUT = 8
 _TOKEN = re.compile(r"[^\s]+|\n")
 
 
 class _Cuts(dict):
-    """Word -> whether a sentence ends after it."""
+    """Word -> 0 if a sentence ends after it, or else its hash."""
 
     def __missing__(self, word: str) -> bool:
         if len(self) > 500_000:
             self.clear()
-        self[word] = out = word[-1] in ".!?" or xxhash.xxh64_intdigest(word) % WORD_CUT == 0
+        digest = xxhash.xxh64_intdigest(word)
+        self[word] = out = 0 if word[-1] in ".!?" or digest % WORD_CUT == 0 else digest
         return out
 
 
 _cuts = _Cuts()
 
 
+def _smallest(hashes: list[int]) -> list[int]:
+    """Places of the smallest of every WORD_CUT hashes in a row, the first of equals, in order."""
+    out, k = [], -1
+    for i in range(len(hashes) - WORD_CUT + 1):
+        last = i + WORD_CUT - 1
+        if k < i:
+            k = min(range(i, last + 1), key=hashes.__getitem__)
+        elif hashes[last] < hashes[k]:
+            k = last
+        if not out or out[-1] != k:
+            out.append(k)
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """Sentences of a text: (start, end) in code points, the words joined by spaces, number of words."""
-    out, words, start, end, cuts = [], [], 0, 0, _cuts
+    out, words, marks, cuts = [], [], [], _cuts
+
+    def close(n: int) -> None:
+        """End a sentence after the words so far, and inside the first ``n`` of them where these are many."""
+        at = 0
+        if n >= WORD_CUT:
+            for k in _smallest([cuts[w] for w in words[:n]]):
+                out.append((marks[at].start(), marks[k].end(), " ".join(words[at : k + 1]), k + 1 - at))
+                at = k + 1
+        if at < len(words):
+            out.append((marks[at].start(), marks[-1].end(), " ".join(words[at:]), len(words) - at))
+        words.clear()
+        marks.clear()
+
     for m in _TOKEN.finditer(text):
         word = m.group()
         if word == "\n":
             if words:
-                out.append((start, end, " ".join(words), len(words)))
-                words = []
+                close(len(words) - 1)
             continue
-        if not words:
-            start = m.start()
         words.append(word)
-        end = m.end()
-        if cuts[word]:
-            out.append((start, end, " ".join(words), len(words)))
-            words = []
+        marks.append(m)
+        if not cuts[word]:
+            close(len(words) - 1)
     if words:
-        out.append((start, end, " ".join(words), len(words)))
+        close(len(words))
     return out
 
 

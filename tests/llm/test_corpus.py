@@ -194,6 +194,22 @@ def test_sentence_spans(spark, docs, empty):
     assert sentence_spans.remove_repeats(empty).count() == 0
 
 
+def test_passages_hold_spans(spark):
+    """Every passage of over 50 words holds a span wherever it stands, whatever its words are."""
+    plain = [w for w in (f"{a}{b}" for a in "bcdfghjklm" for b in range(60)) if sentence_spans._cuts[w]]
+    draw = np.random.default_rng(5)
+    hashes = lambda t: {h for _, _, h in sentence_spans.spans(sentence_spans.sentences(t))}
+    for k in range(300):
+        passage = prose(k, 51) if k % 3 == 0 else " ".join(draw.choice(plain, 51)) if k % 3 == 1 else " ".join(list(draw.choice(plain, 1 + k % 7)) * 51).split(" ", 51)[:51]
+        passage = passage if isinstance(passage, str) else " ".join(passage)
+        around = [" ".join(draw.choice(plain, n)) for n in draw.integers(0, 40, 4)]
+        assert hashes(f"{around[0]} {passage} {around[1]}") & hashes(f"{around[2]}\n{passage}\n{around[3]}"), passage
+    assert all(s[3] <= sentence_spans.WORD_CUT for s in sentence_spans.sentences(" ".join(plain)))
+    text = " ".join(draw.choice(plain, 300))
+    out = {r.doc_id: r for r in sentence_spans.remove_repeats(frame(spark, [(1, text), (2, text)])).collect()}
+    assert out[1].n_removed == 0 and out[2].n_removed_words > 280
+
+
 def contamination_by_hand(data, items):
     table = str.maketrans(decontamination.UPPER, decontamination.LOWER)
 

@@ -85,8 +85,7 @@ def crdt_array(spark, d):
     order = Window.partitionBy("user_id").orderBy("event_id")
     lags = [F.lag("event_id", k).over(order) for k in (1, 2, 3)]
     which = F.col("event_id") % 3
-    events = table(spark, d, "events").where("event_id < 3000")
-    inserts = events.select(F.col("user_id").alias("obj"), F.col("event_id").alias("id"), F.when(which == 0, lags[0]).when(which == 1, lags[1]).otherwise(lags[2]).alias("parent"), (F.col("event_type") != "error").alias("live"))
+    inserts = table(spark, d, "events").select(F.col("user_id").alias("obj"), F.col("event_id").alias("id"), F.when(which == 0, lags[0]).when(which == 1, lags[1]).otherwise(lags[2]).alias("parent"), (F.col("event_type") != "error").alias("live"))
     woven = crdt.array_order(inserts)
     items = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("path", "id", "live"))), lambda x: x["live"]), lambda x: x["id"].cast("string"))
     return woven.groupBy("obj").agg(F.count("*").alias("n_all"), items.alias("i")).select("obj", "n_all", F.when(F.size("i") > 0, F.array_join("i", ",")).alias("items"))

@@ -13,8 +13,7 @@ R = Registry()
 
 def _nested(spark, d):
     inner = F.struct(F.col("event_type").alias("c"), F.array(F.col("user_id").cast("string"), (F.col("user_id") % 3).cast("string")).alias("d"))
-    rows = table(spark, d, "events").where("event_id < 2000")
-    return rows.select("event_id", F.to_json(F.struct(F.col("event_id").alias("a"), inner.alias("b"), (F.col("event_id") % 2 == 0).alias("e"), F.from_json("props", "k bigint").alias("props"))).alias("doc"))
+    return table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("a"), inner.alias("b"), (F.col("event_id") % 2 == 0).alias("e"), F.from_json("props", "k bigint").alias("props"))).alias("doc"))
 
 
 @R.query(
@@ -77,7 +76,7 @@ def strictness(spark, d):
 SELECT parent, count(*) - count(DISTINCT name) AS repeated, count(*) FILTER (WHERE b >= name) AS unsorted, min(CAST(name AS BIGINT)) = 0 AND max(CAST(name AS BIGINT)) = count(*) - 1 AND count(DISTINCT name) = count(*) AS contiguous FROM l GROUP BY parent"""
 )
 def strictness_order(spark, d):
-    rows = table(spark, d, "events").where("event_id < 1200").select(F.col("user_id").alias("parent"), F.col("event_id").alias("place"), (F.col("event_id") % 10).cast("string").alias("name"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("parent"), F.col("event_id").alias("place"), (F.col("event_id") % 10).cast("string").alias("name"))
     return documents.order_violations(rows, "parent", "place", "name")
 
 

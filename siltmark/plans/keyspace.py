@@ -68,7 +68,7 @@ SELECT key, array_to_string(arg_max(a, i), ',') AS items FROM f GROUP BY key"""
 def ks_push_pop(spark, d):
     """Lists after pushes at both ends and pops from both ends, in order."""
     cmd = F.when(F.col("event_type") == "click", "LPUSH").when(F.col("event_type") == "view", "RPUSH").when(F.col("event_type") == "signup", "LPOP").otherwise("RPOP")
-    commands = table(spark, d, "events").where("event_id < 2000 and event_type <> 'error'").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), cmd.alias("cmd"), F.col("event_id").alias("item"))
+    commands = table(spark, d, "events").where("event_type <> 'error'").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), cmd.alias("cmd"), F.col("event_id").alias("item"))
     return keyspace.fold_list(commands).select("key", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 

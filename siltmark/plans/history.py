@@ -132,10 +132,18 @@ def _version_subsystem(spark, d):
 
 @R.query(f"{_T}, {_VS} SELECT *, row_number() OVER (ORDER BY CAST(string_split(version, '.')[1] AS INT), CAST(string_split(version, '.')[2] AS INT), lines DESC, subsystem) AS place FROM v ORDER BY place LIMIT 500")
 def by_version_subsystem(spark, d):
-    """Rollup in numeric version order, not text order; the first 500 rows with their places."""
+    """The rollup in numeric version order, not text order, with places.
+
+    Rows are numbered inside each version and shifted by the rows of the versions before: no order runs through one
+    task but that of one small row for each version.
+    """
     parts = F.transform(F.split("version", r"\."), lambda x: x.cast("int"))
-    first = _version_subsystem(spark, d).orderBy(parts, F.desc("lines"), "subsystem").limit(500)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(parts, F.desc("lines"), "subsystem")).cast("bigint"))
+    rollup = _version_subsystem(spark, d)
+    before = Window.orderBy(parts).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = rollup.groupBy("version").agg(F.count("*").alias("_n")).select("version", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy("version").orderBy(F.desc("lines"), "subsystem"))
+    placed = rollup.withColumn("_i", inside).join(F.broadcast(shifts), "version")
+    return placed.select("version", "subsystem", "lines", (F.col("_i") + F.col("_shift")).cast("bigint").alias("place")).orderBy("place")
 
 
 @R.query(f"{_T}, {_VS}, r AS (SELECT *, row_number() OVER (PARTITION BY version ORDER BY lines DESC, subsystem) AS rank FROM v) SELECT * FROM r WHERE rank <= 10")

@@ -44,3 +44,17 @@ BOUNDS = {
 def test_all_events(spark, name):
     """sf0.01 has 10000 events, more than any of the bounds."""
     assert compare(spark, name, catalogue.ORACLES[name].replace(*BOUNDS[name]))
+
+
+def test_all_sources_merged(spark):
+    """Every version of the log is in a source, so the merge is the latest state."""
+    name = "kv_merge_sources"
+    got = compare(spark, name, catalogue.ORACLES[name].replace("% 3 = 1", "% 3 <> 0"))
+    latest = catalogue.QUERIES["kv_latest"](spark, DIR).collect()
+    assert sorted((r["key"], r["offset"]) for r in got) == sorted((r["key"], r["offset"]) for r in latest)
+
+
+def test_all_versions_rolled_up(spark):
+    name = "by_version_subsystem"
+    got = compare(spark, name, catalogue.ORACLES[name].replace(" LIMIT 500", ""))
+    assert len(got) > 500 and [r["place"] for r in got] == list(range(1, len(got) + 1))

@@ -19,7 +19,8 @@ PROBES = 2
 #: A document is contaminated when at least one in so many of its words is hit.
 HIT_SHARE = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are the runs of what is left once letters are lower-cased; splitting at the others costs a tenth of matching them.
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -29,7 +30,7 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words of a text, in order; none for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), _BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -49,13 +50,14 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """How often each of ``terms`` (one column, term) occurs in the texts; terms that do not occur are absent."""
-    seen = _keyed(documents).select(F.explode(words(F.col("_t"))).alias("term"))
+    # outer, or the words would be cut twice: once to see whether there are any; the join drops the null of an empty text
+    seen = _keyed(documents).select(F.explode_outer(words(F.col("_t"))).alias("term"))
     return seen.join(sized(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """The positional index for ``terms``: term, _d, _h (the document's key), pos (from 0)."""
-    seen = _keyed(documents).select("_d", "_h", F.posexplode(words(F.col("_t"))).alias("pos", "term"))
+    seen = _keyed(documents).select("_d", "_h", F.posexplode_outer(words(F.col("_t"))).alias("pos", "term"))
     return seen.join(sized(terms), "term", "left_semi").select("term", "_d", "_h", "pos")
 
 

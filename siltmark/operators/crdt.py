@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltmark.sources.durable import stored
+
 
 def winner(rev: str = "rev", value: str = "val", src: str = "src") -> Column:
     """The last-write-wins operation: greatest |rev|, then greatest value, then greatest source."""
@@ -80,6 +82,7 @@ def array_order(inserts: DataFrame, obj: str = "obj") -> DataFrame:
     while True:
         above = paths.select(F.col(obj).alias("_o"), F.col("id").alias("_i"), F.col("up").alias("_up"), F.col("path").alias("_path"))
         paths = paths.join(above, (F.col(obj) == F.col("_o")) & (F.col("up") == F.col("_i")), "left")
-        paths = paths.select(obj, "id", "live", F.col("_up").alias("up"), F.concat(F.coalesce("_path", F.array().cast("array<bigint>")), "path").alias("path")).cache()
+        paths = paths.select(obj, "id", "live", F.col("_up").alias("up"), F.concat(F.coalesce("_path", F.array().cast("array<bigint>")), "path").alias("path"))
+        paths = stored(paths, "array_order")
         if paths.where("up is not null").isEmpty():
             return paths.drop("up")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltmark.sources.durable import stored
 from siltmark.sources.tables import table
 
-#: Levels that a tree may have.
-LEVELS = 32
+#: Levels that a tree may have, and those that one pass makes.
+LEVELS, FOLD = 32, 10
+#: Ranges of keys in which rows are numbered.
+NUMBER_RANGES = 100_000
 ZERO = "0" * 64
 
 
@@ -23,30 +26,51 @@ def parent_hash(left: Column, right: Column) -> Column:
 
 
 def number(df: DataFrame, order: str) -> DataFrame:
-    """Add idx, rows numbered from 0 by ``order``, which must be unique.
+    """Add idx, rows numbered from 0 by ``order``, a whole number that must be unique.
 
-    Rows are range-partitioned, numbered inside each range, and shifted by the sizes of the ranges before: no order
-    runs through one task but that of one small row for each range.
+    Rows are numbered inside NUMBER_RANGES ranges of equal width at most, and shifted by the sizes of the ranges
+    before: no order runs through one task but that of one small row for each range.
     """
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).cache()
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    width = ((high or 0) - (low or 0)) // NUMBER_RANGES + 1
+    ranged = df.withColumn("_part", F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return ranged.withColumn("_i", inside).join(F.broadcast(sizes), "_part").withColumn("idx", F.col("_i") + F.col("_shift")).drop("_part", "_i", "_n", "_shift")
+    return ranged.withColumn("_i", inside).join(F.broadcast(sizes), "_part").withColumn("idx", F.col("_i") + F.col("_shift")).drop("_part", "_i", "_shift")
+
+
+def _fold(level: DataFrame, first: int) -> DataFrame:
+    """Complete nodes of levels first + 1 to first + FOLD over a level (offset, hash): level, offset, hash.
+
+    A group of 2 ** FOLD neighbours is one array, halved FOLD times inside its task.
+    """
+    groups = level.groupBy(F.shiftright("offset", FOLD).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("offset", "hash"))), lambda x: x["hash"]).alias("l0"))
+
+    def halved(below: Column) -> Column:
+        places = F.sequence(F.lit(1), F.floor(F.size(below) / 2).cast("int"))
+        pairs = F.transform(places, lambda i: parent_hash(F.element_at(below, 2 * i - 1), F.element_at(below, 2 * i)))
+        return F.when(F.size(below) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+    def made(k: int) -> Column:
+        return F.transform(f"l{k}", lambda h, i: F.struct(F.lit(first + k).alias("level"), (F.shiftleft("g", FOLD - k) + i).alias("offset"), h.alias("hash")))
+
+    for k in range(1, FOLD + 1):
+        groups = groups.withColumn(f"l{k}", halved(F.col(f"l{k - 1}")))
+    return groups.select(F.inline(F.concat(*[made(k) for k in range(1, FOLD + 1)])))
 
 
 def build(leaves: DataFrame, count: int) -> DataFrame:
     """All complete nodes over ``count`` leaves (idx, hash): level, offset, hash.
 
-    A level has half the rows of the one below, grouped by offset; a node whose sibling is absent ends its branch.
-    Levels are kept while the next ones are made, or each would be hashed anew from the leaves.
+    FOLD levels are made in one grouped pass, so a billion leaves take three; each pass is stored, and the next one
+    starts from its top level.
     """
-    level = leaves.select(F.col("idx").alias("offset"), "hash").cache()
-    out = level.select(F.lit(0).alias("level"), "offset", "hash")
-    for n in range(1, count.bit_length()):
-        pair = level.groupBy(F.floor(F.col("offset") / 2).alias("o")).agg(F.min_by("hash", "offset").alias("l"), F.max_by("hash", "offset").alias("r"), F.count("*").alias("n"))
-        level = pair.where("n = 2").select(F.col("o").alias("offset"), parent_hash(F.col("l"), F.col("r")).alias("hash")).cache()
-        out = out.unionByName(level.select(F.lit(n).alias("level"), "offset", "hash"))
+    out = stored(leaves.select(F.lit(0).alias("level"), F.col("idx").alias("offset"), "hash"), "merkle")
+    last = out
+    for first in range(0, max(count.bit_length() - 1, 0), FOLD):
+        last = stored(_fold(last.where(F.col("level") == first).select("offset", "hash"), first), "merkle")
+        out = out.unionByName(last)
     return out
 
 

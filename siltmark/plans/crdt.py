@@ -70,7 +70,7 @@ def id64_format(spark, d):
     return events.select("event_id", "packed", crdt.id64_text(F.col("packed")).alias("text"))
 
 
-_INSERTS_SQL = "i AS (SELECT user_id AS obj, event_id AS id, lag(event_id, 1 + event_id % 3) OVER (PARTITION BY user_id ORDER BY event_id) AS parent, event_type <> 'error' AS live FROM events WHERE event_id < 3000)"
+_INSERTS_SQL = "i AS (SELECT user_id AS obj, event_id AS id, lag(event_id, 1 + event_id % 3) OVER (PARTITION BY user_id ORDER BY event_id) AS parent, event_type <> 'error' AS live FROM events)"
 
 
 @R.query(

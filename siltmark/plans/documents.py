@@ -18,14 +18,14 @@ def _nested(spark, d):
 
 @R.query(
     """SELECT event_id, unnest(['a', 'b/c', 'b/d/0', 'b/d/1', 'e', 'props/k']) AS path, unnest(['number', 'string', 'string', 'string', 'boolean', 'number']) AS type,
-unnest([CAST(event_id AS VARCHAR), event_type, CAST(user_id AS VARCHAR), CAST(user_id % 3 AS VARCHAR), CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, json_extract_string(props, '$.k')]) AS value FROM events WHERE event_id < 2000"""
+unnest([CAST(event_id AS VARCHAR), event_type, CAST(user_id AS VARCHAR), CAST(user_id % 3 AS VARCHAR), CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, json_extract_string(props, '$.k')]) AS value FROM events"""
 )
 def json_flatten(spark, d):
     return documents.flatten_json(_nested(spark, d), "event_id", "doc", depth=4)
 
 
 @R.query(
-    """SELECT event_id, '{"a":' || event_id || ',"b":{"c":"' || event_type || '","d":["' || user_id || '","' || user_id % 3 || '"]},"e":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"props":{"k":' || json_extract_string(props, '$.k') || '}}' AS json FROM events WHERE event_id < 2000"""
+    """SELECT event_id, '{"a":' || event_id || ',"b":{"c":"' || event_type || '","d":["' || user_id || '","' || user_id % 3 || '"]},"e":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"props":{"k":' || json_extract_string(props, '$.k') || '}}' AS json FROM events"""
 )
 def json_unflatten(spark, d):
     """Documents rebuilt from their leaves."""
@@ -72,7 +72,7 @@ def strictness(spark, d):
 
 
 @R.query(
-    """WITH c AS (SELECT user_id AS parent, event_id AS place, CAST(event_id % 10 AS VARCHAR) AS name FROM events WHERE event_id < 1200), l AS (SELECT *, lag(name) OVER (PARTITION BY parent ORDER BY place) AS b FROM c)
+    """WITH c AS (SELECT user_id AS parent, event_id AS place, CAST(event_id % 10 AS VARCHAR) AS name FROM events), l AS (SELECT *, lag(name) OVER (PARTITION BY parent ORDER BY place) AS b FROM c)
 SELECT parent, count(*) - count(DISTINCT name) AS repeated, count(*) FILTER (WHERE b >= name) AS unsorted, min(CAST(name AS BIGINT)) = 0 AND max(CAST(name AS BIGINT)) = count(*) - 1 AND count(DISTINCT name) = count(*) AS contiguous FROM l GROUP BY parent"""
 )
 def strictness_order(spark, d):

@@ -130,7 +130,7 @@ def _version_subsystem(spark, d):
     return rows.groupBy(version.alias("version"), F.substring_index("path", "/", 1).alias("subsystem")).agg(F.sum("lines").alias("lines"))
 
 
-@R.query(f"{_T}, {_VS} SELECT *, row_number() OVER (ORDER BY CAST(string_split(version, '.')[1] AS INT), CAST(string_split(version, '.')[2] AS INT), lines DESC, subsystem) AS place FROM v ORDER BY place LIMIT 500")
+@R.query(f"{_T}, {_VS} SELECT *, row_number() OVER (ORDER BY CAST(string_split(version, '.')[1] AS INT), CAST(string_split(version, '.')[2] AS INT), lines DESC, subsystem) AS place FROM v")
 def by_version_subsystem(spark, d):
     """The rollup in numeric version order, not text order, with places.
 

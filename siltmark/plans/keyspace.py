@@ -60,7 +60,7 @@ def ks_lindex(spark, d):
 
 
 @R.query(
-    """WITH RECURSIVE c AS (SELECT user_id AS key, event_id AS item, event_type AS cmd, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_id < 2000 AND event_type <> 'error'),
+    """WITH RECURSIVE c AS (SELECT user_id AS key, event_id AS item, event_type AS cmd, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type <> 'error'),
 f AS (SELECT key, 0::BIGINT AS i, []::BIGINT[] AS a FROM (SELECT DISTINCT key FROM c) UNION ALL
 SELECT f.key, c.i, CASE cmd WHEN 'click' THEN list_prepend(item, a) WHEN 'view' THEN list_append(a, item) WHEN 'signup' THEN a[2:] ELSE a[:-2] END FROM f JOIN c ON c.key = f.key AND c.i = f.i + 1)
 SELECT key, array_to_string(arg_max(a, i), ',') AS items FROM f GROUP BY key"""

@@ -36,7 +36,7 @@ def kv_keep_versions(spark, d):
 
 
 @R.query(
-    f"""WITH {KV_LOG_SQL}, u AS (SELECT * FROM kv_log WHERE "offset" % 3 = 0 UNION ALL SELECT * FROM kv_log WHERE "offset" % 3 = 1)
+    f"""WITH {KV_LOG_SQL}, u AS (SELECT * FROM kv_log WHERE "offset" % 3 = 0 UNION ALL SELECT * FROM kv_log WHERE "offset" % 3 <> 0)
 SELECT key, max("offset") AS "offset", arg_max(value, "offset") AS value FROM u GROUP BY key HAVING NOT arg_max(is_tombstone, "offset")"""
 )
 def kv_merge_sources(spark, d):

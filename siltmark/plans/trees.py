@@ -99,12 +99,12 @@ def middle_version(spark, d):
 
 
 def _level_sql(n: int) -> str:
-    return f"l{n} AS (SELECT \"offset\" // 2 AS \"offset\", sha256(arg_min(hash, \"offset\") || chr(10) || arg_max(hash, \"offset\") || chr(10)) AS hash FROM l{n - 1} GROUP BY 1 HAVING count(*) = 2)"
+    return f"l{n} AS MATERIALIZED (SELECT \"offset\" // 2 AS \"offset\", sha256(arg_min(hash, \"offset\") || chr(10) || arg_max(hash, \"offset\") || chr(10)) AS hash FROM l{n - 1} GROUP BY 1 HAVING count(*) = 2)"
 
 
 _LEVELS = 20
-_MERKLE_SQL = "l0 AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS \"offset\", sha256(text) AS hash FROM documents), " + ", ".join(_level_sql(n) for n in range(1, _LEVELS + 1))
-_NODES_SQL = _MERKLE_SQL + ", nodes AS (" + " UNION ALL ".join(f'SELECT {n} AS level, "offset", hash FROM l{n}' for n in range(_LEVELS + 1)) + "), k AS (SELECT count(*) AS n FROM documents)"
+_MERKLE_SQL = "l0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS \"offset\", sha256(text) AS hash FROM documents), " + ", ".join(_level_sql(n) for n in range(1, _LEVELS + 1))
+_NODES_SQL = _MERKLE_SQL + ", nodes AS MATERIALIZED (" + " UNION ALL ".join(f'SELECT {n} AS level, "offset", hash FROM l{n}' for n in range(_LEVELS + 1)) + "), k AS (SELECT count(*) AS n FROM documents)"
 _PEAKS_SQL = _NODES_SQL + ', p AS (SELECT level, "offset", hash FROM nodes, k WHERE (n >> level) & 1 = 1 AND "offset" = (n >> level) - 1)'
 
 

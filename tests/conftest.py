@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -14,6 +15,7 @@ def spark():
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='siltmark-tests-')}")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")

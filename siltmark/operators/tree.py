@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions import paths
+from siltmark.sources.durable import stored
+
+# Fixed value: the grammar of a directory's line.
+LINE = r"^[^\x00-\x1F:/]+(:|/)\t[0-9a-f]{64}$"
 
 
 def file_lines(files: DataFrame) -> DataFrame:
@@ -41,7 +45,7 @@ def build(files: DataFrame, depth: int) -> DataFrame:
 def entries(objects: DataFrame) -> DataFrame:
     """Directory entries parsed from directory texts: dir_hash, name, kind, child_hash; lines out of grammar are left out."""
     lines = objects.where(F.col("text").isNotNull()).select(F.col("hash").alias("dir_hash"), F.explode(F.split("text", "\n")).alias("line")).distinct()
-    parsed = lines.where(F.col("line").rlike("^[^\\x00-\\x1F:/]+(:|/)\\t[0-9a-f]{64}$"))
+    parsed = lines.where(F.col("line").rlike(LINE))
     return parsed.select(
         "dir_hash",
         F.regexp_extract("line", "^([^:/\\t]+)", 1).alias("name"),
@@ -50,6 +54,103 @@ def entries(objects: DataFrame) -> DataFrame:
     )
 
 
+def malformed(objects: DataFrame) -> DataFrame:
+    """Lines of directory texts that are out of grammar: hash of the directory, line. The empty end of a text is none."""
+    lines = objects.where(F.col("text").isNotNull()).select("hash", F.posexplode(F.split("text", "\n")).alias("place", "line"), F.size(F.split("text", "\n")).alias("n"))
+    lines = lines.where((F.col("place") < F.col("n") - 1) | (F.col("line") != ""))
+    return lines.where(~F.col("line").rlike(LINE)).select("hash", "line")
+
+
+def walk(tree_entries: DataFrame, objects: DataFrame, wanted: DataFrame, root: str, depth: int) -> DataFrame:
+    """Follow each path of ``wanted`` (path) from a root hash: path, kind, hash, verified.
+
+    One join for each step of the longest path. ``verified``: every object on the way, and the one found, is stored
+    and its content has its hash; where one is not, the walk ends there, as at a name that is absent, and finds none.
+    """
+    sound = objects.select(F.col("hash").alias("_stored"), (F.sha2(F.coalesce("content", "text"), 256) == F.col("hash")).alias("_sound")).groupBy("_stored").agg(F.bool_and("_sound").alias("_sound"))
+    checked = lambda df: df.join(sound, F.col("hash") == F.col("_stored"), "left").withColumn("ok", F.col("ok") & F.coalesce("_sound", F.lit(False))).drop("_stored", "_sound")
+    at = checked(wanted.select("path", F.split("path", "/").alias("left"), F.lit("dir").alias("kind"), F.lit(root).alias("hash"), F.lit(True).alias("ok")))
+    for _ in range(depth):
+        there = at.where("size(left) = 0")
+        step = at.where("size(left) > 0 and kind = 'dir' and ok").withColumn("_name", F.element_at("left", 1)).drop("kind")
+        step = step.join(tree_entries, (F.col("hash") == F.col("dir_hash")) & (F.col("_name") == F.col("name")))
+        step = step.select("path", F.slice("left", 2, 1 << 20).alias("left"), "kind", F.col("child_hash").alias("hash"), "ok")
+        at = there.unionByName(checked(step))
+    return at.where("size(left) = 0").select("path", "kind", "hash", F.col("ok").alias("verified"))
+
+
+def rewrite(objects: DataFrame, changes: DataFrame, depth: int) -> DataFrame:
+    """Objects that changes make: path, kind, hash, text. Only changed entries and their ancestors are hashed anew.
+
+    ``objects``: path, kind, hash, parent; ``changes``: path, kind, hash, text, with a null hash for an entry that
+    goes. All changes are made at once, one grouped pass for each level from the deepest up. A directory that loses
+    its last entry stays, with an empty text; one that a new entry needs is made.
+    """
+    current = changes.select("path", "kind", "hash", "text", F.size(F.split("path", "/")).alias("depth"))
+    done = current
+    entry_ = lambda: F.concat(paths.basename(F.col("path")), F.when(F.col("kind") == "dir", "/\t").otherwise(":\t"), F.col("hash"))
+    for n in range(depth, 0, -1):
+        here = current.where(F.col("depth") == n).select(paths.parent(F.col("path")).alias("up"), "path", "kind", "hash")
+        touched = here.select("up").distinct()
+        old = objects.join(touched, objects.parent == touched.up, "left_semi").join(here.select("path"), "path", "left_anti")
+        rows = old.select(F.col("parent").alias("up"), "path", "kind", "hash").unionByName(here)
+        line = F.when(F.col("hash").isNotNull(), entry_())
+        made = rows.groupBy("up").agg(directory_text(F.collect_list(line)).alias("text"))
+        made = made.select(F.col("up").alias("path"), F.lit("dir").alias("kind"), F.sha2("text", 256).alias("hash"), "text", F.lit(n - 1).alias("depth"))
+        done = done.unionByName(made)
+        current = current.where(F.col("depth") < n).unionByName(made)
+    return done.where("hash is not null").select("path", "kind", "hash", "text")
+
+
+def commit(root: DataFrame, message: str, date: str) -> DataFrame:
+    """The two objects that a commit makes of a root (hash, text): path, hash, text of the commit file and of the new root.
+
+    The commit file names the root that was committed, a date and the message; the new root lists it, and the old
+    root as its parent, in place of those that it had.
+    """
+    note = F.concat(F.lit("Root: "), F.col("hash"), F.lit(f"\nDate: {date}\n\n{message}\n"))
+    kept = F.filter(F.split("text", "\n"), lambda x: (x != "") & ~x.startswith(".commit:\t") & ~x.startswith(".parent/\t"))
+    named = root.select("hash", note.alias("note"), kept.alias("kept"))
+    lines = F.concat("kept", F.array(F.concat(F.lit(".commit:\t"), F.sha2("note", 256)), F.concat(F.lit(".parent/\t"), F.col("hash"))))
+    made = named.select("note", directory_text(lines).alias("text"))
+    both = F.array(F.struct(F.lit(".commit").alias("path"), F.col("note").alias("text")), F.struct(F.lit("").alias("path"), F.col("text")))
+    return made.select(F.inline(both)).select("path", F.sha2("text", 256).alias("hash"), "text")
+
+
+def commits_only(log: DataFrame, versions: DataFrame, *keys: str) -> DataFrame:
+    """The rows of a log (keys, distance, commit) that a commit made, each commit hash once where it repeats in a row.
+
+    ``versions`` of other origin carry the commit file of the version before, so their hash repeats it: the oldest
+    version that has a hash made it.
+    """
+    newest = Window.partitionBy(*keys).orderBy("distance")
+    with_next = log.join(versions, list(set(log.columns) & set(versions.columns))).withColumn("_older", F.lead("commit").over(newest))
+    return with_next.where(F.col("commit").isNotNull() & ~F.col("commit").eqNullSafe(F.col("_older"))).drop("_older")
+
+
+def reachable(spark, edges: DataFrame, tips: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """Versions that tips (tip) reach over edges (child, parent), themselves included: distinct tip, version.
+
+    One semi-naive round for each step: only versions that are new in a round are followed further.
+    """
+    found = stored(tips.select("tip", F.col("tip").alias("version")).distinct(), "reached")
+    fresh = found
+    for _ in range(max_depth):
+        fresh = fresh.join(edges, F.col("version") == F.col("child")).select("tip", F.col("parent").alias("version")).distinct()
+        fresh = stored(fresh.join(found, ["tip", "version"], "left_anti"), "reached")
+        if fresh.isEmpty():
+            return found
+        found = found.unionByName(fresh)
+    raise RuntimeError(f"versions reach further than {max_depth} steps")
+
+
+def revision_range(spark, edges: DataFrame, a: int | str, b: int | str, symmetric: bool = False) -> DataFrame:
+    """Versions of the range a..b (reached by b, not by a), or a...b (reached by one of them only): version."""
+    tips = spark.createDataFrame([(a,), (b,)], ["tip"]).distinct()
+    sides = reachable(spark, edges, tips).groupBy("version").agg(F.bool_or(F.col("tip") == a).alias("_a"), F.bool_or(F.col("tip") == b).alias("_b"))
+    return sides.where("_a <> _b" if symmetric else "_b and not _a").select("version")
+
+
 def listing(spark, tree_entries: DataFrame, root: str, max_depth: int = 50) -> DataFrame:
     """Every path below a root hash with its kind and hash, in pre-order when sorted by path."""
     tree_entries.createOrReplaceTempView("_tree_entries")

@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltmark.operators import merkle, tree
 from siltmark.plans.registry import Registry
+from siltmark.sources.durable import stored
 from siltmark.sources.tables import PART_TREE_SQL, part_tree, table
 
 R = Registry()
 _DEPTH = 3
-_TREE_SQL = f"""{PART_TREE_SQL}, f AS (SELECT path, sha256(content) AS hash FROM part_tree),
-d2 AS (SELECT regexp_extract(path, '^(.*)/', 1) AS path, string_agg(regexp_extract(path, '([^/]*)$', 1) || ':' || chr(9) || hash || chr(10), '' ORDER BY regexp_extract(path, '([^/]*)$', 1) || ':' || chr(9) || hash) AS text FROM f GROUP BY 1),
-d1 AS (SELECT regexp_extract(path, '^(.*)/', 1) AS path, string_agg(regexp_extract(path, '([^/]*)$', 1) || '/' || chr(9) || sha256(text) || chr(10), '' ORDER BY regexp_extract(path, '([^/]*)$', 1) || '/' || chr(9) || sha256(text)) AS text FROM d2 GROUP BY 1),
-d0 AS (SELECT '' AS path, string_agg(path || '/' || chr(9) || sha256(text) || chr(10), '' ORDER BY path || '/' || chr(9) || sha256(text)) AS text FROM d1),
-o AS (SELECT path, 'file' AS kind, hash FROM f UNION ALL SELECT path, 'dir', sha256(text) FROM (FROM d2 UNION ALL FROM d1 UNION ALL FROM d0))"""
+
+
+def _tree_sql(files: str = PART_TREE_SQL, name: str = "part_tree", dirs: str = "part_tree", more: str = "") -> str:
+    """Objects o of the tree over ``name``; directories are those over the files of ``dirs``, empty or not."""
+    base = "regexp_extract(path, '([^/]*)$', 1)"
+    up = "regexp_extract(path, '^(.*)/', 1)"
+    lines = lambda mark: f"coalesce(string_agg(c.name || '{mark}' || chr(9) || c.hash || chr(10), '' ORDER BY c.name || '{mark}' || chr(9) || c.hash), '')"
+    return f"""{files}, f AS (SELECT path, sha256(content) AS hash FROM {name}),
+k2 AS (SELECT DISTINCT {up} AS path FROM {dirs}{more}), c2 AS (SELECT {up} AS up, {base} AS name, hash FROM f),
+d2 AS (SELECT k2.path, {lines(":")} AS text FROM k2 LEFT JOIN c2 c ON c.up = k2.path GROUP BY 1),
+c1 AS (SELECT {up} AS up, {base} AS name, sha256(text) AS hash FROM d2), d1 AS (SELECT up AS path, {lines("/")} AS text FROM c1 c GROUP BY 1),
+c0 AS (SELECT path AS name, sha256(text) AS hash FROM d1), d0 AS (SELECT '' AS path, {lines("/")} AS text FROM c0 c),
+o AS (SELECT path, 'file' AS kind, hash, NULL AS text FROM f UNION ALL SELECT path, 'dir', sha256(text), text FROM (FROM d2 UNION ALL FROM d1 UNION ALL FROM d0))"""
+
+
+_TREE_SQL = _tree_sql()
+
+
+def _objects(spark, d):
+    """The stored objects of the tree over the parts, and the hash of its root."""
+    objects = stored(tree.build(part_tree(spark, d), _DEPTH), "tree")
+    root = objects.where("path = ''").first()
+    return objects, root["hash"] if root else ""
 
 
 @R.query(f"WITH {_TREE_SQL} SELECT path, kind, hash FROM o")
@@ -26,26 +46,92 @@ def tree_objects(spark, d):
 @R.query(f"WITH {_TREE_SQL} SELECT path, kind, hash FROM o WHERE path <> ''")
 def tree_ls(spark, d):
     """Recursive listing from the root hash, through the directories' texts alone."""
-    objects = tree.build(part_tree(spark, d), _DEPTH).cache()
-    root = objects.where("path = ''").first()
-    return tree.listing(spark, tree.entries(objects), root["hash"] if root else "")
+    objects, root = _objects(spark, d)
+    return tree.listing(spark, tree.entries(objects), root)
 
 
-@R.query(f"WITH {_TREE_SQL} SELECT path, hash FROM o WHERE path IN ('ECONOMY/Brand#17', 'ECONOMY/Brand#2/p0', 'SMALL')")
+@R.query(f"""WITH {_TREE_SQL} SELECT path, kind, hash, NOT (path LIKE '%/p_2') AS verified FROM o WHERE path LIKE 'ECONOMY%' AND path <> 'ECONOMY'""")
 def tree_get(spark, d):
-    objects = tree.build(part_tree(spark, d), _DEPTH)
-    return objects.where(F.col("path").isin("ECONOMY/Brand#17", "ECONOMY/Brand#2/p0", "SMALL")).select("path", "hash")
+    """Paths followed from the root, over a store that spoilt the content of some files; and some that do not exist."""
+    objects, root = _objects(spark, d)
+    files = part_tree(spark, d).select("path", F.when(F.col("path").like("%/p_2"), F.concat("content", F.lit("?"))).otherwise(F.col("content")).alias("content"))
+    held = objects.join(files, "path", "left")
+    wanted = objects.where(F.col("path").like("ECONOMY_%")).select("path")
+    wanted = wanted.unionByName(wanted.select(F.concat("path", F.lit("/none")).alias("path")))
+    return tree.walk(tree.entries(objects), held, wanted, root, _DEPTH + 1)
+
+
+_NEW_FILES = "UNION ALL SELECT 'ECONOMY/Brand#new/n' || r_regionkey, r_name FROM region"
+_PUT_SQL = _tree_sql(f"""{PART_TREE_SQL}, put_tree AS (SELECT path, CASE WHEN path LIKE '%/p1' THEN content || '!' ELSE content END AS content FROM part_tree {_NEW_FILES})""", "put_tree", "put_tree")
+_TOUCHED = "path = '' OR path LIKE '%/p1' OR path LIKE 'ECONOMY/Brand#new%' OR path = 'ECONOMY' OR path IN (SELECT regexp_extract(path, '^(.*)/', 1) FROM part_tree WHERE path LIKE '%/p1') OR path IN (SELECT regexp_extract(path, '^([^/]*)/', 1) FROM part_tree WHERE path LIKE '%/p1')"
+
+
+@R.query(f"WITH {_PUT_SQL} SELECT path, kind, hash FROM o WHERE {_TOUCHED}")
+def tree_put(spark, d):
+    """A changed file and new files in a new directory: they, and their ancestors up to the new root."""
+    objects, _ = _objects(spark, d)
+    changed = part_tree(spark, d).where(F.col("path").like("%/p1")).select("path", F.concat("content", F.lit("!")).alias("content"))
+    new = table(spark, d, "region").select(F.concat(F.lit("ECONOMY/Brand#new/n"), F.col("r_regionkey").cast("string")).alias("path"), F.col("r_name").alias("content"))
+    changes = changed.unionByName(new).select("path", F.lit("file").alias("kind"), F.sha2("content", 256).alias("hash"), F.lit(None).cast("string").alias("text"))
+    return tree.rewrite(objects, changes, _DEPTH).select("path", "kind", "hash")
+
+
+_RM_SQL = _tree_sql(f"{PART_TREE_SQL}, rm_tree AS (SELECT * FROM part_tree WHERE NOT (path LIKE '%/p1' OR path LIKE '%/p1_'))", "rm_tree")
+_ABOVE_RM = "path = '' OR path IN (SELECT regexp_extract(path, '^(.*)/', 1) FROM part_tree WHERE path LIKE '%/p1' OR path LIKE '%/p1_') OR path IN (SELECT regexp_extract(path, '^([^/]*)/', 1) FROM part_tree WHERE path LIKE '%/p1' OR path LIKE '%/p1_')"
+
+
+@R.query(f"WITH {_RM_SQL} SELECT path, kind, hash FROM o WHERE {_ABOVE_RM}")
+def tree_rm(spark, d):
+    """Directories above removed files, up to the new root."""
+    objects, _ = _objects(spark, d)
+    gone = objects.where(F.col("path").like("%/p1") | F.col("path").like("%/p1_")).select("path", "kind", F.lit(None).cast("string").alias("hash"), F.lit(None).cast("string").alias("text"))
+    return tree.rewrite(objects, gone, _DEPTH).select("path", "kind", "hash")
+
+
+_MKDIR_SQL = _tree_sql(more=" UNION SELECT DISTINCT regexp_extract(path, '^([^/]*)/', 1) || '/empty' FROM part_tree")
+
+
+@R.query(f"WITH {_MKDIR_SQL} SELECT path, kind, hash FROM o WHERE NOT contains(path, '/') OR path LIKE '%/empty'")
+def tree_mkdir(spark, d):
+    """An empty directory below every type, and their ancestors up to the new root."""
+    objects, _ = _objects(spark, d)
+    made = objects.where("parent = ''").select(F.concat("path", F.lit("/empty")).alias("path"), F.lit("dir").alias("kind"), F.sha2(F.lit(""), 256).alias("hash"), F.lit("").alias("text"))
+    return tree.rewrite(objects, made, _DEPTH).select("path", "kind", "hash")
+
+
+_COMMIT_SQL = f"{_TREE_SQL}, r AS (SELECT hash, text, 'Root: ' || hash || chr(10) || 'Date: 12 Feb 2024 08:00:00 UTC' || chr(10) || chr(10) || 'All parts' || chr(10) AS note FROM o WHERE path = ''), n AS (SELECT '.commit:' || chr(9) || sha256(note) || chr(10) || '.parent/' || chr(9) || hash || chr(10) || text AS text FROM r)"
+
+
+@R.query(f"WITH {_COMMIT_SQL} SELECT '.commit' AS path, sha256(note) AS hash FROM r UNION ALL SELECT '', sha256(text) FROM n")
+def tree_commit(spark, d):
+    """A commit of the root: its note and the new root, which lists the note and the root before."""
+    objects, _ = _objects(spark, d)
+    return tree.commit(objects.where("path = ''"), "All parts", "12 Feb 2024 08:00:00 UTC").select("path", "hash")
 
 
 @R.query(f"WITH {_TREE_SQL} SELECT path, kind, hash FROM o WHERE path <> '' AND hash IN (SELECT hash FROM o WHERE path LIKE '%/p1_') AND hash NOT IN (SELECT hash FROM o WHERE NOT (path LIKE '%/p1_'))")
 def tree_check(spark, d):
     """Reachable paths whose object is missing from a store that lost some files."""
-    objects = tree.build(part_tree(spark, d), _DEPTH).cache()
-    root = objects.where("path = ''").first()
-    walked = tree.listing(spark, tree.entries(objects), root["hash"] if root else "")
+    objects, root = _objects(spark, d)
+    walked = tree.listing(spark, tree.entries(objects), root)
     return tree.missing(walked, objects.where(~F.col("path").like("%/p1_")))
 
 
+@R.query(
+    f"""WITH {_TREE_SQL} SELECT path, 'hash' AS fault FROM o WHERE kind = 'file' AND path LIKE '%/p_2' UNION ALL
+SELECT path, 'line' FROM o WHERE kind = 'dir' AND path LIKE '%/Brand#1_' UNION ALL SELECT path, 'hash' FROM o WHERE kind = 'dir' AND path LIKE '%/Brand#1_'"""
+)
+def tree_faults(spark, d):
+    """Stored objects whose content does not have their hash, and directories with lines out of grammar."""
+    objects, _ = _objects(spark, d)
+    spoilt = objects.withColumn("text", F.when((F.col("kind") == "dir") & F.col("path").like("%/Brand#1_"), F.concat("text", F.lit("no entry\n"))).otherwise(F.col("text")))
+    files = part_tree(spark, d).select("path", F.when(F.col("path").like("%/p_2"), F.concat("content", F.lit("?"))).otherwise(F.col("content")).alias("content"))
+    held = spoilt.join(files, "path", "left").select("path", "hash", F.coalesce("content", "text").alias("content"), "text")
+    wrong = tree.mismatched(held).select("path", F.lit("hash").alias("fault"))
+    lines = tree.malformed(held).select("hash").distinct().join(held.select("hash", "path"), "hash").select("path", F.lit("line").alias("fault"))
+    return wrong.unionByName(lines)
+
+
 _SIDES = "a AS (SELECT path, sha256(content) AS hash FROM part_tree), b AS (SELECT path, sha256(CASE WHEN length(content) % 5 = 0 THEN content || '!' ELSE content END) AS hash FROM part_tree WHERE length(path) % 7 <> 0 UNION ALL SELECT path || '.new', sha256(content) FROM part_tree WHERE length(content) % 9 = 0), c AS (SELECT path, sha256(CASE WHEN length(content) % 3 = 0 THEN content || '?' ELSE content END) AS hash FROM part_tree WHERE length(path) % 11 <> 0)"
 
 
@@ -74,11 +160,15 @@ def tree_merge3(spark, d):
     return tree.merge(*_sides(spark, d))
 
 
-@R.query("WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT count(*) AS merges, count(*) FILTER (WHERE n > 5) AS conflicts, round(100.0 * count(*) FILTER (WHERE n > 5) / count(*), 4) AS percent FROM c WHERE n > 1")
+@R.query(
+    f"""WITH {PART_TREE_SQL}, {_SIDES}, j AS (SELECT path, a.hash AS o, b.hash AS x, c.hash AS y FROM a FULL JOIN b USING (path) FULL JOIN c USING (path)),
+m AS (SELECT regexp_extract(path, '^([^/]*/[^/]*)/', 1) AS merge, bool_or(o IS DISTINCT FROM x AND o IS DISTINCT FROM y AND x IS DISTINCT FROM y) AS conflict FROM j GROUP BY 1)
+SELECT count(*) AS merges, count(*) FILTER (WHERE conflict) AS conflicts, round(100.0 * count(*) FILTER (WHERE conflict) / count(*), 4) AS percent FROM m"""
+)
 def conflict_rate(spark, d):
-    """Share of merges (conversations of several turns) that conflict (more than five)."""
-    merges = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1")
-    return merges.agg(F.count("*").alias("merges"), F.count_if(F.col("n") > 5).alias("conflicts")).select("merges", "conflicts", F.round(F.lit(100.0) * F.col("conflicts") / F.col("merges"), 4).alias("percent"))
+    """Share of three-way merges, one for each directory of files, in which a file conflicts."""
+    merged = tree.merge(*_sides(spark, d)).groupBy(F.regexp_extract("path", "^([^/]*/[^/]*)/", 1).alias("merge")).agg(F.bool_or("conflict").alias("conflict"))
+    return merged.agg(F.count("*").alias("merges"), F.count_if("conflict").alias("conflicts")).select("merges", "conflicts", F.round(F.lit(100.0) * F.col("conflicts") / F.col("merges"), 4).alias("percent"))
 
 
 @R.query("WITH RECURSIVE v AS (SELECT conv_id, turn FROM conversations), u AS (SELECT conv_id, turn AS last, turn FROM v UNION ALL SELECT u.conv_id, u.last, v.turn FROM u JOIN v ON v.conv_id = u.conv_id AND v.turn = u.turn - 1) SELECT conv_id, last, turn AS ancestor, last - turn AS distance FROM u")
@@ -89,10 +179,45 @@ def version_log(spark, d):
     return up.select("root.conv_id", F.col("root.turn").alias("last"), F.col("ancestor.turn").alias("ancestor"), F.col("distance").cast("bigint").alias("distance"))
 
 
+@R.query(
+    """WITH v AS (SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS made FROM conversations), l AS (SELECT conv_id, max(turn) AS last FROM v GROUP BY 1)
+SELECT v.conv_id, l.last, v.turn, sha256(v.conv_id || ':' || v.made) AS "commit" FROM v JOIN l USING (conv_id) WHERE v.turn = v.made"""
+)
+def version_commits(spark, d):
+    """The log of the last version of every chain: only versions made by a commit. Users' turns commit; the versions
+    after them carry the same commit file until the next."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    carried = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id").orderBy("turn"))
+    versions = turns.withColumn("_made", carried).select("conv_id", "turn", F.when(F.col("_made").isNotNull(), F.sha2(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("_made").cast("string")), 256)).alias("commit"))
+    chain = turns.select(F.struct("conv_id", "turn").alias("root"), F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("parent"))
+    log = tree.ancestors(spark, chain).select("root.conv_id", F.col("root.turn").alias("last"), F.col("ancestor.turn").alias("turn"), "distance")
+    log = log.join(turns.groupBy("conv_id").agg(F.max("turn").alias("last")), ["conv_id", "last"], "left_semi")
+    return tree.commits_only(log, versions, "conv_id", "last").select("conv_id", "last", "turn", "commit")
+
+
+_EDGES_SQL = "e AS (SELECT o_orderkey AS child, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey > 0 UNION SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey > 0 AND o_orderkey % 3 = 0)"
+_REACH_SQL = f"WITH RECURSIVE {_EDGES_SQL}, r AS (SELECT 700 AS tip, 700 AS version UNION SELECT 900, 900 UNION SELECT tip, parent FROM r JOIN e ON child = version)"
+
+
+def _edges(spark, d):
+    """A history of versions with one or two parents each."""
+    keys = table(spark, d, "orders").where("o_orderkey > 0").select(F.col("o_orderkey").alias("child"))
+    halves = keys.select("child", F.floor(F.col("child") / 2).alias("parent"))
+    return halves.union(keys.where("child % 3 = 0").select("child", F.floor(F.col("child") / 3).alias("parent"))).distinct()
+
+
+@R.query(f"{_REACH_SQL} SELECT CAST(version AS BIGINT) AS version FROM r WHERE tip = 900 EXCEPT SELECT version FROM r WHERE tip = 700")
+def revision_range(spark, d):
+    return tree.revision_range(spark, _edges(spark, d), 700, 900)
+
+
+@R.query(f"{_REACH_SQL} SELECT CAST(version AS BIGINT) AS version FROM r GROUP BY version HAVING count(*) = 1")
+def revision_symmetric(spark, d):
+    return tree.revision_range(spark, _edges(spark, d), 700, 900, symmetric=True)
+
+
 @R.query("WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, turn FROM c WHERE rn = n // 2 + 1")
 def middle_version(spark, d):
-    from pyspark.sql import Window
-
     each = Window.partitionBy("conv_id")
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(each.orderBy("turn")).alias("rn"), F.count("*").over(each).alias("n"))
     return rows.where("rn = n div 2 + 1").select("conv_id", "turn")

@@ -6,27 +6,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions import paths, ron64
+from siltmark.sources.durable import stored
 
 
-def flatten_json(docs: DataFrame, key: str, text: str, depth: int = 8) -> DataFrame:
-    """Leaves of JSON objects: key, path (keys joined by /, array places in base 64), type, value.
+def _nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Every value below the top of JSON texts: k, path, name (null in an array), kind, v (a variant).
 
-    One explode for each level of nesting; empty containers vanish; text that is not JSON has no leaves.
+    One explode for each level of nesting, until a level has nothing to explode; levels are stored, so each one is
+    read from its parents alone. Text that is not JSON has none.
     """
-    spark = docs.sparkSession
-    docs.select(F.col(key).alias("k"), F.expr(f"try_parse_json({text})").alias("v")).where("v is not null").createOrReplaceTempView("_json_docs")
-    level = spark.sql("SELECT k, '' AS path, v FROM _json_docs")
-    out = None
-    for _ in range(depth):
-        level.createOrReplaceTempView("_json_level")
-        kind = "schema_of_variant(v)"
-        leaves = spark.sql(f"SELECT k, path, {kind} AS t, cast(v AS string) AS value FROM _json_level WHERE NOT ({kind} LIKE 'OBJECT%' OR {kind} LIKE 'ARRAY%')")
-        out = leaves if out is None else out.unionByName(leaves)
-        level = spark.sql(f"SELECT k, path, x.key AS name, x.pos AS pos, x.value AS v FROM _json_level, LATERAL variant_explode(v) x WHERE {kind} LIKE 'OBJECT%' OR {kind} LIKE 'ARRAY%'")
-        step = F.coalesce("name", ron64.encode(F.col("pos")))
-        level = level.select("k", F.when(F.col("path") == "", step).otherwise(F.concat_ws("/", "path", step)).alias("path"), "v")
-    type_ = F.when(F.col("t").isin("BIGINT", "DOUBLE") | F.col("t").startswith("DECIMAL"), "number").when(F.col("t") == "BOOLEAN", "boolean").when(F.col("t") == "VOID", "null").otherwise("string")
-    return out.select(F.col("k").alias(key), "path", type_.alias("type"), "value")
+    def kinds(df: DataFrame) -> DataFrame:
+        return df.withColumn("kind", F.expr("regexp_extract(schema_of_variant(v), '^[A-Z]+', 0)"))
+
+    level = kinds(docs.select(F.col(key).alias("k"), F.lit("").alias("path"), F.lit(None).cast("string").alias("name"), F.expr(f"try_parse_json({text})").alias("v")).where("v is not null"))
+    out = level = stored(level, "json_level")
+    while not (deeper := level.where("kind in ('OBJECT', 'ARRAY')")).isEmpty():
+        exploded = deeper.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("_key"), F.col("pos").alias("_pos"), F.col("value").alias("_value")))
+        step = F.coalesce("_key", ron64.encode(F.col("_pos")))
+        path = F.when(F.col("path") == "", step).otherwise(F.concat_ws("/", "path", step))
+        level = stored(kinds(exploded.select("k", path.alias("path"), F.col("_key").alias("name"), F.col("_value").alias("v"))), "json_level")
+        out = out.unionByName(level)
+    return out
+
+
+def flatten_json(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Leaves of JSON objects, at any depth: key, path (keys joined by /, array places in base 64), type, value.
+
+    Empty containers vanish; text that is not JSON has no leaves.
+    """
+    kind = F.col("kind")
+    type_ = F.when(kind.isin("BIGINT", "DOUBLE", "DECIMAL"), "number").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("string")
+    leaves = _nodes(docs, key, text).where("kind not in ('OBJECT', 'ARRAY')")
+    return leaves.select(F.col("k").alias(key), "path", type_.alias("type"), F.expr("cast(v as string)").alias("value"))
+
+
+def mixed_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Whether a document nests containers and has keys that are paths themselves: key, mixed."""
+    nodes = _nodes(docs, key, text)
+    return nodes.groupBy(F.col("k").alias(key)).agg((F.bool_or(F.col("kind").isin("OBJECT", "ARRAY")) & F.bool_or(F.coalesce(F.contains("name", F.lit("/")), F.lit(False)))).alias("mixed"))
 
 
 def is_array(names: Column) -> Column:
@@ -35,34 +52,58 @@ def is_array(names: Column) -> Column:
     return (decoded == F.sequence(F.lit(0).cast("bigint"), F.size(names).cast("bigint") - 1)) & F.forall(names, lambda n: n.rlike("^(0|[^0].*)$"))
 
 
-def unflatten(leaves: DataFrame, key: str, depth: int = 8) -> DataFrame:
+def unflatten(leaves: DataFrame, key: str) -> DataFrame:
     """JSON text of each document from its leaves: objects with sorted keys, arrays where child names count from 0.
 
     Containers are closed from the deepest level up, one grouped pass each.
     """
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"([\\\"])", r"\\$1"), "\n", r"\\n"), F.lit('"'))
+    depth = leaves.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 1
+
+    def quoted(c: Column) -> Column:
+        whole = F.to_json(F.struct(c.alias("v")))  # {"v":...}
+        return F.call_function("substring", whole, F.lit(6), F.length(whole) - 6)
+
     text = F.when(F.col("type") == "string", quoted(F.col("value"))).when(F.col("type") == "null", "null").otherwise(F.col("value"))
     rows = leaves.select(key, "path", text.alias("text"), F.size(F.split("path", "/")).alias("d"))
+    made = None
     for n in range(depth, 0, -1):
-        here = rows.where(F.col("d") == n)
+        here = rows.where((F.col("d") == n) & (F.col("path") != "")).select(key, "path", "text")
+        here = here if made is None else here.unionByName(made)
         kids = here.groupBy(key, paths.parent(F.col("path")).alias("path")).agg(F.collect_list(F.struct(paths.basename(F.col("path")).alias("name"), "text")).alias("kids"))
         names = F.transform("kids", lambda x: x["name"])
         by_number = F.array_sort(F.transform("kids", lambda x: F.struct(ron64.decode(x["name"]).alias("i"), x["text"].alias("text"))))
         array = F.concat(F.lit("["), F.array_join(F.transform(by_number, lambda x: x["text"]), ","), F.lit("]"))
         obj = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort("kids"), lambda x: F.concat(quoted(x["name"]), F.lit(":"), x["text"])), ","), F.lit("}"))
-        made = kids.select(key, "path", F.when(is_array(names), array).otherwise(obj).alias("text"), F.when(F.col("path") == "", 0).otherwise(n - 1).alias("d"))
-        rows = rows.where((F.col("d") < n) & (F.col("d") > 0)).unionByName(made) if n > 1 else made
-        rows = rows.where("not (d = 0 and path <> '')")
-    return rows.select(key, F.col("text").alias("json"))
+        made = kids.select(key, "path", F.when(is_array(names), array).otherwise(obj).alias("text"))
+    # a document that is one plain value has the empty path
+    return made.unionByName(rows.where("path = ''").select(key, "path", "text")).select(key, F.col("text").alias("json"))
+
 
+#: Checks of a record, by the bit of each.
+SHORTEST, NUMBER, UTF8, BOOLEAN, MINIMAL, CANONICAL, MIXED = 0, 1, 2, 7, 8, 9, 10
+#: Bytes of a key or value in a short record.
+SHORT = 15
 
-#: Checks of a leaf, by the bit of each.
-NUMBER, UTF8, BOOLEAN, MINIMAL, CANONICAL = 1, 2, 7, 8, 9
+
+def failed(cond: Column, bit: int) -> Column:
+    return F.when(cond, F.lit(1 << bit)).otherwise(F.lit(0))
+
+
+def byte_violations(key: Column, value: Column) -> Column:
+    """Bits of the checks on a leaf's bytes: short enough for the shortest form, and UTF-8."""
+    long = (F.octet_length(key) > SHORT) | (F.octet_length(value) > SHORT)
+    invalid = ~F.is_valid_utf8(key.cast("string")) | ~F.is_valid_utf8(value.cast("string"))
+    return failed(long, SHORTEST).bitwiseOR(failed(invalid, UTF8))
+
+
+def valid(found: Column, mask: int) -> Column:
+    """Whether a record passes all checks of a mask, given the bits of those that it fails."""
+    return found.bitwiseAND(F.lit(mask)) == 0
 
 
 def violations(kind: Column, name: Column, path: Column, value: Column) -> Column:
     """Bits of the checks that a leaf fails: canonical number, canonical boolean, shortest base-64 name, canonical path."""
-    fails = lambda cond, bit: F.when(cond, F.lit(1 << bit)).otherwise(F.lit(0))
+    fails = failed
     number = (kind == "number") & ~value.rlike(r"^(0|-?[1-9][0-9]*|-?(0|[1-9][0-9]*)\.[0-9]+)$")
     boolean = (kind == "boolean") & ~value.isin("true", "false", "")
     index = (kind == "index") & ~name.rlike("^(0|[^0].*)$")
@@ -85,20 +126,59 @@ def permitted(encoder_mask: Column, decoder_mask: Column) -> Column:
     return encoder_mask.bitwiseAND(decoder_mask) == decoder_mask
 
 
+def _number_bytes(n: Column, count: int) -> Column:
+    """Hex of a number's ``count`` lowest bytes, the lowest first."""
+    return F.concat(*[F.lpad(F.hex(F.shiftright(n.cast("bigint"), 8 * i).bitwiseAND(F.lit(255).cast("bigint"))), 2, "0") for i in range(count)])
+
+
 def encode_leaf(tag: Column, name: Column, value: Column) -> Column:
-    """Short record of a leaf: tag, a byte of both lengths (4 bits each), key, value; null if either is over 15 bytes."""
-    key_bytes, value_bytes = F.encode(name, "UTF-8"), F.encode(value, "UTF-8")
+    """Record of a leaf: tag, lengths, key, value. A key of over 255 bytes has none.
+
+    Short, with a lower-case tag and one byte for both lengths (4 bits each), where both are at most 15 bytes; else
+    long, with an upper-case tag, four bytes for the value's length, the lowest first, and one for the key's.
+    """
     n, m = F.octet_length(name), F.octet_length(value)
-    lengths = F.unhex(F.lpad(F.hex((n * 16 + m).cast("bigint")), 2, "0"))
-    return F.when((n <= 15) & (m <= 15), F.concat(F.encode(tag, "UTF-8"), lengths, key_bytes, value_bytes))
+    short = (n <= SHORT) & (m <= SHORT)
+    lengths = F.when(short, _number_bytes(n * 16 + m, 1)).otherwise(F.concat(_number_bytes(m, 4), _number_bytes(n, 1)))
+    made = F.concat(F.encode(F.when(short, F.lower(tag)).otherwise(F.upper(tag)), "UTF-8"), F.unhex(lengths), F.encode(name, "UTF-8"), F.encode(value, "UTF-8"))
+    return F.when(n <= 255, made)
+
+
+def _record_at(data: Column, start: Column) -> Column:
+    """Record that begins at a byte (from 0): struct of tag, key, value, end; end is null if it is not whole or not a record."""
+    byte = lambda i: F.conv(F.hex(F.call_function("substring", data, start + 1 + i, F.lit(1))), 16, 10).cast("int")
+    tag = F.decode(F.call_function("substring", data, start + 1, F.lit(1)), "UTF-8")
+    short = tag.rlike("^[abnos]$")
+    known = short | tag.rlike("^[ABNOS]$")
+    n = F.when(short, F.floor(byte(1) / 16).cast("int")).otherwise(byte(5))
+    m = F.when(short, byte(1) % 16).otherwise(byte(1).cast("bigint") + byte(2) * 256 + byte(3) * 65_536 + byte(4).cast("bigint") * 16_777_216)
+    body = start + F.when(short, 2).otherwise(6)
+    end = body + n + m
+    part = lambda a, c: F.decode(F.call_function("substring", data, (a + 1).cast("int"), c.cast("int")), "UTF-8")
+    return F.struct(tag.alias("tag"), part(body, n).alias("key"), part(body + n, m).alias("value"), F.when(known & (end <= F.octet_length(data)), end.cast("int")).alias("end"))
 
 
 def decode_leaf(record: Column) -> tuple[Column, Column, Column]:
-    """Tag, key and value of a short record."""
-    lengths = F.conv(F.hex(F.call_function("substring", record, F.lit(2), F.lit(1))), 16, 10).cast("int")
-    n = F.floor(lengths / 16).cast("int")
-    part = lambda a, b: F.decode(F.call_function("substring", record, a, b), "UTF-8")
-    return part(F.lit(1), F.lit(1)), part(F.lit(3), n), part(n + 3, lengths % 16)
+    """Tag, key and value of a record; null if it is cut short, of no known tag, or followed by more."""
+    found = _record_at(record, F.lit(0))
+    whole = found["end"] == F.octet_length(record)
+    return tuple(F.when(whole, found[x]) for x in ("tag", "key", "value"))
+
+
+def decode_records(data: Column) -> Column:
+    """Records that follow one another: array of (tag, key, value), in order; null if the last is not whole."""
+    empty = F.array().cast("array<struct<tag:string,key:string,value:string>>")
+
+    def step(state: Column, _: Column) -> Column:
+        found = _record_at(data, state["at"])
+        more = state["at"] < F.octet_length(data)
+        grown = F.concat(state["out"], F.array(F.struct(found["tag"].alias("tag"), found["key"].alias("key"), found["value"].alias("value"))))
+        return F.struct(F.when(more, found["end"]).otherwise(state["at"]).alias("at"), F.when(more, grown).otherwise(state["out"]).alias("out"))
+
+    # a record has two bytes at least
+    turns = F.sequence(F.lit(1), F.greatest(F.floor(F.octet_length(data) / 2).cast("int"), F.lit(1)))
+    end = F.aggregate(turns, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+    return F.when(end["at"] == F.octet_length(data), end["out"])
 
 
 def same(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from siltmark.sources.tables import PAGE_PATHS_SQL, page_paths, table
 
 R = Registry()
 
+
 def _nested(spark, d):
     inner = F.struct(F.col("event_type").alias("c"), F.array(F.col("user_id").cast("string"), (F.col("user_id") % 3).cast("string")).alias("d"))
     return table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("a"), inner.alias("b"), (F.col("event_id") % 2 == 0).alias("e"), F.from_json("props", "k bigint").alias("props"))).alias("doc"))
@@ -21,7 +22,7 @@ def _nested(spark, d):
 unnest([CAST(event_id AS VARCHAR), event_type, CAST(user_id AS VARCHAR), CAST(user_id % 3 AS VARCHAR), CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, json_extract_string(props, '$.k')]) AS value FROM events"""
 )
 def json_flatten(spark, d):
-    return documents.flatten_json(_nested(spark, d), "event_id", "doc", depth=4)
+    return documents.flatten_json(_nested(spark, d), "event_id", "doc")
 
 
 @R.query(
@@ -29,7 +30,7 @@ def json_flatten(spark, d):
 )
 def json_unflatten(spark, d):
     """Documents rebuilt from their leaves."""
-    return documents.unflatten(documents.flatten_json(_nested(spark, d), "event_id", "doc", depth=4), "event_id", depth=4)
+    return documents.unflatten(documents.flatten_json(_nested(spark, d), "event_id", "doc"), "event_id")
 
 
 @R.query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
@@ -80,14 +81,59 @@ def strictness_order(spark, d):
     return documents.order_violations(rows, "parent", "place", "name")
 
 
-@R.query("SELECT p_partkey, lower(hex(encode('S')) || lpad(to_hex(strlen(p_brand) * 16 + strlen(p_type)), 2, '0') || hex(encode(p_brand)) || hex(encode(p_type))) AS record, p_brand AS key, p_type AS value FROM part WHERE strlen(p_brand) <= 15 AND strlen(p_type) <= 15")
+_U32 = "lpad(to_hex({n} & 255), 2, '0') || lpad(to_hex(({n} >> 8) & 255), 2, '0') || lpad(to_hex(({n} >> 16) & 255), 2, '0') || lpad(to_hex(({n} >> 24) & 255), 2, '0')"
+_RECORD_SQL = f"""CASE WHEN strlen(p_name) <= 15 AND strlen(p_type) <= 15 THEN '73' || lpad(to_hex(strlen(p_type) * 16 + strlen(p_name)), 2, '0')
+ELSE '53' || {_U32.format(n="strlen(p_name)")} || lpad(to_hex(strlen(p_type)), 2, '0') END || hex(encode(p_type)) || hex(encode(p_name))"""
+
+
+@R.query(f"SELECT p_partkey, lower({_RECORD_SQL}) AS record, p_type AS key, p_name AS value FROM part")
 def leaf_records(spark, d):
-    """Short leaf records of parts, and what decoding them gives."""
-    coded = table(spark, d, "part").select("p_partkey", documents.encode_leaf(F.lit("S"), F.col("p_brand"), F.col("p_type")).alias("r")).where("r is not null")
+    """Leaf records of parts, short and long, and what decoding them gives."""
+    coded = table(spark, d, "part").select("p_partkey", documents.encode_leaf(F.lit("s"), F.col("p_type"), F.col("p_name")).alias("r"))
     _, key, value = documents.decode_leaf(F.col("r"))
     return coded.select("p_partkey", F.lower(F.hex("r")).alias("record"), key.alias("key"), value.alias("value"))
 
 
+@R.query("SELECT p_brand, p_size, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) - 1 AS place, CASE WHEN strlen(p_name) <= 15 AND strlen(p_type) <= 15 THEN 's' ELSE 'S' END AS tag, p_type AS key, p_name AS value FROM part")
+def record_stream(spark, d):
+    """Records one after the other, decoded again."""
+    coded = table(spark, d, "part").select("p_brand", "p_size", "p_partkey", F.hex(documents.encode_leaf(F.lit("s"), F.col("p_type"), F.col("p_name"))).alias("r"))
+    streams = coded.groupBy("p_brand", "p_size").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "r"))), lambda x: x["r"]), "")).alias("s"))
+    return streams.select("p_brand", "p_size", F.posexplode(documents.decode_records(F.col("s"))).alias("place", "x")).select("p_brand", "p_size", F.col("place").cast("bigint").alias("place"), "x.tag", "x.key", "x.value")
+
+
+_CUT = "encode(coalesce(text, ''))[1:(doc_id % 40)]"
+
+
+@R.query(
+    f"""WITH b AS (SELECT doc_id, encode(lang || '/' || source) AS k, {_CUT} AS v FROM documents), x AS (SELECT doc_id, (CASE WHEN octet_length(k) > 15 OR octet_length(v) > 15 THEN 1 ELSE 0 END) + (CASE WHEN try(decode(v)) IS NULL THEN 4 ELSE 0 END) AS found FROM b)
+SELECT doc_id, found, found & 1 = 0 AS is_short, found & 4 = 0 AS is_utf8, found & 5 = 0 AS is_valid FROM x"""
+)
+def strictness_bytes(spark, d):
+    """Shortest form and UTF-8 of leaves whose value is the first bytes of a text, cut where they are cut; and masks."""
+    v = F.call_function("substring", F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.lit(1), (F.col("doc_id") % 40).cast("int"))
+    found = documents.byte_violations(F.encode(F.concat_ws("/", "lang", "source"), "UTF-8"), v)
+    out = table(spark, d, "documents").select("doc_id", found.alias("found"))
+    return out.select("doc_id", "found", *[documents.valid(F.col("found"), m).alias(n) for m, n in ((1, "is_short"), (4, "is_utf8"), (5, "is_valid"))])
+
+
+@R.query("SELECT event_id, event_id % 3 = 0 AS mixed FROM events")
+def strictness_mixed(spark, d):
+    """Documents that nest containers and have keys that are paths."""
+    inner = F.struct(F.col("user_id").alias("b"))
+    doc = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(inner.alias("a"), F.array(F.struct(F.col("event_type").alias("x/y"))).alias("list")))).otherwise(F.to_json(F.struct(inner.alias("a"), F.lit("x/y").alias("c"))))
+    return documents.mixed_paths(table(spark, d, "events").select("event_id", doc.alias("doc")), "event_id", "doc")
+
+
+@R.query("SELECT event_id, '{\"a\":' || repeat('[{\"b\":', 1 + event_id % 5) || event_id || repeat('}]', 1 + event_id % 5) || '}' AS json FROM events")
+def json_deep(spark, d):
+    """Documents of up to 11 levels, taken apart and put together."""
+    n = (1 + F.col("event_id") % 5).cast("int")
+    doc = F.concat(F.lit('{"a":'), F.expr("repeat('[{\"b\":', cast(1 + event_id % 5 as int))"), F.col("event_id").cast("string"), F.repeat(F.lit("}]"), n), F.lit("}"))
+    docs = table(spark, d, "events").select("event_id", doc.alias("doc"))
+    return documents.unflatten(documents.flatten_json(docs, "event_id", "doc"), "event_id")
+
+
 _LEAVES = "a AS (SELECT p_partkey AS k, p_name AS value FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN p_name || '*' ELSE p_name END AS value FROM part WHERE p_partkey % 3 <> 0)"
 
 
@@ -102,7 +148,10 @@ def document_patch(spark, d):
     return documents.patch(*_leaves(spark, d), "k")
 
 
-@R.query("SELECT true AS same_after, false AS same_before")
+@R.query(
+    f"""WITH {_LEAVES}, p AS (SELECT k, b.value FROM a FULL JOIN b USING (k) WHERE a.value IS DISTINCT FROM b.value), q AS (SELECT * FROM a WHERE k NOT IN (SELECT k FROM p) UNION ALL SELECT * FROM p WHERE value IS NOT NULL)
+SELECT NOT EXISTS (FROM q EXCEPT ALL FROM b) AND NOT EXISTS (FROM b EXCEPT ALL FROM q) AS same_after, NOT EXISTS (FROM a EXCEPT ALL FROM b) AND NOT EXISTS (FROM b EXCEPT ALL FROM a) AS same_before"""
+)
 def document_equal(spark, d):
     """Patching one document into another makes them equal; they were not before."""
     a, b = _leaves(spark, d)

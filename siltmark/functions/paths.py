@@ -40,6 +40,18 @@ def directory_at(path: Column, depth: int) -> Column:
     return F.when(F.size(parts) == 1, "(root)").otherwise(F.concat(F.array_join(F.slice(parts, 1, F.least(F.lit(depth), F.size(parts) - 1)), "/"), F.lit("/")))
 
 
+def file_type(path: Column) -> Column:
+    """Kind of a source file by its name: Makefile, Kconfig, .c, .h, .S, or other."""
+    name = basename(path)
+    named = lambda n: (name == n) | F.startswith(name, F.lit(f"{n}."))
+    end = F.regexp_extract(name, r"(\.(?:c|h|S))$", 1)
+    return F.when(named("Makefile"), "Makefile").when(named("Kconfig"), "Kconfig").when(end != "", end).otherwise("other")
+
+
+def depth(path: Column) -> Column:
+    return F.size(split(path))
+
+
 def organisation(email: Column) -> Column:
     """Lower-cased domain after the first @, else 'unknown'."""
     domain = F.lower(F.trim(F.regexp_extract(email, "@(.*)$", 1)))

@@ -71,6 +71,49 @@ def id64_text(packed: Column) -> Column:
     return F.concat_ws("-", *[F.lower(F.hex(p)) for p in id64_parts(packed)])
 
 
+def resource(ops: DataFrame, src: Column) -> DataFrame:
+    """The same operations under another author."""
+    return ops.withColumn("src", src)
+
+
+# Fixed value: the order of the types, by letter.
+TYPES = "FIRST"
+
+
+def value_text(type_: Column, value: Column) -> Column:
+    """Text form of a value by its type letter: F and I as numbers, R as an identifier, S quoted, T as it is."""
+    quoted = F.to_json(F.struct(value.alias("v")))
+    identifier = id64_text(F.when(type_ == "R", value.try_cast("bigint")))
+    return F.when(type_ == "S", F.call_function("substring", quoted, F.lit(6), F.length(quoted) - 6)).when(type_ == "R", identifier).otherwise(value)
+
+
+def parsed_value(type_: Column, text: Column) -> Column:
+    """The value that value_text() wrote; null where the text is not one of its type."""
+    hex_ = F.split(text, "-")
+    number = lambda i: F.conv(F.get(hex_, F.lit(i)), 16, 10).try_cast("bigint")
+    packed = F.when((F.size(hex_) == 3) & text.rlike("^[0-9a-f]+-[0-9a-f]+-[0-9a-f]+$"), id64(number(0), number(1), number(2)))
+    unquoted = F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")
+    plain = F.when(type_ == "F", F.when(text.try_cast("double").isNotNull(), text)).when(type_ == "I", F.when(text.try_cast("bigint").isNotNull(), text))
+    return plain.when(type_ == "R", packed.cast("string")).when(type_ == "S", F.when(text.rlike('(?s)^".*"$'), unquoted)).when(type_ == "T", text)
+
+
+def value_order(type_: Column, value: Column) -> Column:
+    """What values sort by: the letter of their type, then their bytes."""
+    return F.struct(type_.alias("t"), F.encode(value, "UTF-8").alias("b"))
+
+
+def map_pairs(ops: DataFrame, obj: str = "obj", key: str = "key") -> DataFrame:
+    """Live pairs of mergeable maps. Rows: obj, key, krev (negative: removed), ksrc, vrev, val, vsrc.
+
+    A pair's key and its value are won apart: the key by revision and author, the value by revision, value and author.
+    """
+    won = ops.groupBy(obj, key).agg(
+        F.max(F.struct(F.abs("krev").alias("a"), F.col("ksrc").alias("src"), F.col("krev").alias("rev"))).alias("k"),
+        F.max(F.struct(F.abs("vrev").alias("a"), F.col("val").alias("val"), F.col("vsrc").alias("src"), F.col("vrev").alias("rev"))).alias("v"),
+    )
+    return won.where("k.rev > 0").select(obj, key, F.when(F.col("v.rev") > 0, F.col("v.val")).alias("val"), F.col("k.a").alias("krev"), F.col("v.a").alias("vrev"))
+
+
 def array_order(inserts: DataFrame, obj: str = "obj") -> DataFrame:
     """Replicated array: elements in weave order. Rows: obj, id, parent (null at the start), live.
 

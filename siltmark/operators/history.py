@@ -85,6 +85,43 @@ def pattern_scores(texts: DataFrame, key: str, text: str, patterns: dict[str, in
     return lines.groupBy(key).agg(F.sum(score).alias("score"))
 
 
+#: What the messages of each class contain, in either case.
+CLASSES = {
+    "bugfix": ("fix", "bug", "revert", "regress", "broken", "error", "crash", "oops", "patch"),
+    "feature": ("feat", "add ", "new ", "support ", "implement", "introduce", "enable ", "initial "),
+    "doc": ("doc", "readme", "comment", "typo", "spelling", "grammar"),
+    "test": ("test", "spec", "check", "unittest"),
+    "refactor": ("refactor", "clean", "tidy", "rename", "move ", "simplif"),
+}
+MERGE = ("merge branch", "merge pull req", "merge remote", "merge tag")
+#: Patterns of hand-tuned code and what a line that matches is worth.
+TUNED = {
+    "(<<|>>|& [_a-zA-Z0-9]+)": 1,
+    "(mem_pool|blob_alloc|xcalloc)": 1,
+    r"(inline|__attribute__\s*\(\s*\(always_inline\)\)|prefetch)": 1,
+    r"(__attribute__\s*\(\s*\(?\s*packed\s*\)?\s*\)|#pragma pack|__packed|PACKED)": 1,
+    r"(__attribute__\s*\(\s*\(?\s*aligned\s*\(\s*64\s*\)\s*\)|__cacheline_aligned|CACHELINE_SIZE|aligned\(CACHE_LINE\)|__aligned\(64\))": 1,
+    r"(char\s+(pad|reserved|_padding)\[[0-9]+\]|unsigned\s+(char|int)\s+padding\[[0-9]+\])": 1,
+    "(ewah_|bitmap|hashmap_entry)": 1,
+    r"(/\*.*(optimize|speed|fast path|performance|hack).*\*/)": 2,
+    "(lstat|mmap|O_NOATIME)": 1,
+}
+
+
+def classified(message: Column) -> dict[str, Column]:
+    """Whether a message is a merge, and, for others, whether it is of each class; a message may be of several."""
+    text = F.lower(message)
+    has = lambda words: F.coalesce(F.greatest(*[F.contains(text, F.lit(w)) for w in words]), F.lit(False))
+    merge = has(MERGE)
+    return {"merge": merge} | {name: ~merge & has(words) for name, words in CLASSES.items()}
+
+
+def bytes_per_line(rows: DataFrame, n: int) -> DataFrame:
+    """Files (path, net lines, delta bytes) with more lines than before, most bytes a line first: with bytes_per_line."""
+    grown = rows.where("net > 0").withColumn("bytes_per_line", F.col("delta") / F.col("net"))
+    return grown.orderBy(F.desc("bytes_per_line"), "path").limit(n)
+
+
 def grep(texts: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """Lines that match, with their numbers from 1."""
     lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("_n", "line"))

@@ -49,10 +49,30 @@ def fields(rows: DataFrame) -> DataFrame:
 
 def ttl(keys: DataFrame, now: Column) -> DataFrame:
     """Remaining milliseconds of each key: -2 expired or missing, -1 without expiry. Rows: key, set_at, ttl_ms (or null)."""
-    left = F.col("ttl_ms") - (F.unix_millis(now) - F.unix_millis("set_at"))
+    left = remaining(now)
     return keys.select("key", F.when(F.col("ttl_ms").isNull(), -1).when(left <= 0, -2).otherwise(left).cast("bigint").alias("ttl"))
 
 
+def remaining(now: Column) -> Column:
+    """Milliseconds that a key (set_at, ttl_ms) has left; null if it does not expire."""
+    return F.col("ttl_ms") - (F.unix_millis(now) - F.unix_millis("set_at"))
+
+
+def unexpired(keys: DataFrame, now: Column) -> DataFrame:
+    """Keys that have not expired: what reads may see, and what a sweep leaves."""
+    return keys.where(F.col("ttl_ms").isNull() | (remaining(now) > 0))
+
+
+def sweep(keys: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The keys that stay, and those that have expired."""
+    return unexpired(keys, now), keys.where(remaining(now) <= 0)
+
+
+def lookup(keys: DataFrame, wanted: DataFrame, now: Column, *columns: str) -> DataFrame:
+    """For each wanted key its columns, null where it is missing or expired, and whether it was found."""
+    return wanted.select("key").distinct().join(unexpired(keys, now).select("key", *columns, F.lit(True).alias("found")), "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def running_groups(rows: DataFrame, key: str, order: str, reset: Column) -> DataFrame:
     """Number of resets up to each row of its key: the segment that a sequential fold is in."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions import paths
-from siltmark.sources.durable import stored
+from siltmark.operators.vectors import reachable
 
 # Fixed value: the grammar of a directory's line.
 LINE = r"^[^\x00-\x1F:/]+(:|/)\t[0-9a-f]{64}$"
@@ -128,26 +128,10 @@ def commits_only(log: DataFrame, versions: DataFrame, *keys: str) -> DataFrame:
     return with_next.where(F.col("commit").isNotNull() & ~F.col("commit").eqNullSafe(F.col("_older"))).drop("_older")
 
 
-def reachable(spark, edges: DataFrame, tips: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """Versions that tips (tip) reach over edges (child, parent), themselves included: distinct tip, version.
-
-    One semi-naive round for each step: only versions that are new in a round are followed further.
-    """
-    found = stored(tips.select("tip", F.col("tip").alias("version")).distinct(), "reached")
-    fresh = found
-    for _ in range(max_depth):
-        fresh = fresh.join(edges, F.col("version") == F.col("child")).select("tip", F.col("parent").alias("version")).distinct()
-        fresh = stored(fresh.join(found, ["tip", "version"], "left_anti"), "reached")
-        if fresh.isEmpty():
-            return found
-        found = found.unionByName(fresh)
-    raise RuntimeError(f"versions reach further than {max_depth} steps")
-
-
 def revision_range(spark, edges: DataFrame, a: int | str, b: int | str, symmetric: bool = False) -> DataFrame:
     """Versions of the range a..b (reached by b, not by a), or a...b (reached by one of them only): version."""
-    tips = spark.createDataFrame([(a,), (b,)], ["tip"]).distinct()
-    sides = reachable(spark, edges, tips).groupBy("version").agg(F.bool_or(F.col("tip") == a).alias("_a"), F.bool_or(F.col("tip") == b).alias("_b"))
+    tips = spark.createDataFrame([(a, a), (b, b)], ["tip", "version"]).distinct()
+    sides = reachable(edges, tips).groupBy("version").agg(F.bool_or(F.col("tip") == a).alias("_a"), F.bool_or(F.col("tip") == b).alias("_b"))
     return sides.where("_a <> _b" if symmetric else "_b and not _a").select("version")
 
 

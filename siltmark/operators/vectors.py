@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltmark.sources.durable import stored
+
 
 def merge(*vectors: DataFrame) -> DataFrame:
     """Greatest seq of each source; a source at 0 is present, unlike one that is absent."""
@@ -72,3 +74,26 @@ def reach(spark, edges: DataFrame, rounds: int) -> DataFrame:
           SELECT DISTINCT a, a, 0 FROM _gossip_edges UNION ALL
           SELECT r.start, e.b, r.round + 1 FROM r JOIN _gossip_edges e ON e.a = r.peer WHERE r.round < {rounds})
         SELECT start, peer, min(round) AS round FROM r GROUP BY start, peer""")
+
+
+def reachable(edges: DataFrame, tips: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """Versions that tips (tip, version) reach over edges (child, parent), themselves included: distinct tip, version.
+
+    One semi-naive round for each step: only versions that are new in a round are followed further.
+    """
+    found = stored(tips.select("tip", "version").distinct(), "reached")
+    fresh = found
+    for _ in range(max_depth):
+        fresh = fresh.join(edges, F.col("version") == F.col("child")).select("tip", F.col("parent").alias("version")).distinct()
+        fresh = stored(fresh.join(found, ["tip", "version"], "left_anti"), "reached")
+        if fresh.isEmpty():
+            return found
+        found = found.unionByName(fresh)
+    raise RuntimeError(f"versions reach further than {max_depth} steps")
+
+
+def closures(edges: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Versions (version) that two sets reach, themselves included: version, side (both, only a, only b)."""
+    tips = a.select(F.lit(0).alias("tip"), "version").unionByName(b.select(F.lit(1).alias("tip"), "version"))
+    sides = reachable(edges, tips).groupBy("version").agg(F.bool_or(F.col("tip") == 0).alias("_a"), F.bool_or(F.col("tip") == 1).alias("_b"))
+    return sides.select("version", F.when(F.col("_a") & F.col("_b"), "both").when(F.col("_a"), "only a").otherwise("only b").alias("side"))

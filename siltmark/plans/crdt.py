@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltmark.operators import crdt, vectors
@@ -39,6 +40,51 @@ def crdt_map(spark, d):
     return crdt.live_pairs(crdt_ops(spark, d), "obj", "field")
 
 
+_PAIRS_SQL = "p AS (SELECT user_id AS obj, event_type AS key, CASE WHEN event_id % 7 = 0 THEN -(event_id % 40 + 1) ELSE event_id % 40 + 1 END AS krev, event_id % 5 AS ksrc, CASE WHEN event_id % 9 = 0 THEN -(event_id % 30 + 1) ELSE event_id % 30 + 1 END AS vrev, CAST(round(value * 100) AS BIGINT) AS val, event_id % 3 AS vsrc FROM events)"
+
+
+@R.query(
+    f"""WITH {_PAIRS_SQL}, w AS (SELECT obj, key, max(struct_pack(a := abs(krev), src := ksrc, rev := krev)) AS k, max(struct_pack(a := abs(vrev), val := val, src := vsrc, rev := vrev)) AS v FROM p GROUP BY ALL)
+SELECT obj, key, CASE WHEN v.rev > 0 THEN v.val END AS val, k.a AS krev, v.a AS vrev FROM w WHERE k.rev > 0"""
+)
+def crdt_map_pairs(spark, d):
+    """Maps whose keys and values are written apart."""
+    e = F.col("event_id")
+    signed = lambda every, of: F.when(e % every == 0, -(e % of + 1)).otherwise(e % of + 1)
+    ops = table(spark, d, "events").select(F.col("user_id").alias("obj"), F.col("event_type").alias("key"), signed(7, 40).alias("krev"), (e % 5).alias("ksrc"), signed(9, 30).alias("vrev"), F.round(F.col("value") * 100).cast("bigint").alias("val"), (e % 3).alias("vsrc"))
+    return crdt.map_pairs(ops)
+
+
+@R.query(f"WITH {CRDT_OPS_SQL}, m AS (SELECT * REPLACE (99 AS src) FROM crdt_ops WHERE src = 3 UNION ALL SELECT * FROM crdt_ops WHERE src <> 3) {_LWW.format(keys='obj, field', ops='m')}")
+def crdt_resource(spark, d):
+    """Latest values after one author's operations went to another name."""
+    ops = crdt_ops(spark, d)
+    return crdt.lww(crdt.resource(ops, F.when(F.col("src") == 3, 99).otherwise(F.col("src"))), "obj", "field")
+
+
+_VALUES_SQL = """v AS (SELECT event_id, user_id, substr('FIRST', CAST(1 + event_id % 5 AS INTEGER), 1) AS type, CASE event_id % 5 WHEN 0 THEN CAST(user_id AS VARCHAR) || '.5' WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN CAST((user_id << 44) | (event_id << 12) AS VARCHAR) WHEN 3 THEN event_type || '"' || user_id ELSE event_type END AS value FROM events)"""
+
+
+def _values(spark, d):
+    e, user = F.col("event_id"), F.col("user_id").cast("string")
+    forms = F.array(F.concat(user, F.lit(".5")), e.cast("string"), crdt.id64(F.col("user_id"), e, F.lit(0)).cast("string"), F.concat("event_type", F.lit('"'), user), F.col("event_type"))
+    return table(spark, d, "events").select("event_id", "user_id", F.expr("substring('FIRST', cast(1 + event_id % 5 as int), 1)").alias("type"), F.element_at(forms, (e % 5 + 1).cast("int")).alias("value"))
+
+
+@R.query(f"""WITH {_VALUES_SQL} SELECT event_id, type, CASE type WHEN 'S' THEN '"' || replace(value, '"', '\\"') || '"' WHEN 'R' THEN lower(to_hex(user_id) || '-' || to_hex(event_id) || '-0') ELSE value END AS text, value AS back FROM v""")
+def crdt_value_text(spark, d):
+    """Text forms of values by type, and what they parse to."""
+    rows = _values(spark, d).withColumn("text", crdt.value_text(F.col("type"), F.col("value")))
+    return rows.select("event_id", "type", "text", crdt.parsed_value(F.col("type"), F.col("text")).alias("back"))
+
+
+@R.query(f"WITH {_VALUES_SQL} SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY type, encode(value), event_id) AS place FROM v")
+def crdt_value_order(spark, d):
+    """Values of each object in order: by type, then bytes."""
+    order = Window.partitionBy("user_id").orderBy(crdt.value_order(F.col("type"), F.col("value")), "event_id")
+    return _values(spark, d).select("event_id", F.row_number().over(order).cast("bigint").alias("place"))
+
+
 _HALF = "a AS ({}), b AS ({})".format(_LWW.format(keys="obj, field", ops="(SELECT * FROM crdt_ops WHERE src < 5)"), _LWW.format(keys="obj, field", ops="crdt_ops"))
 
 
@@ -80,8 +126,6 @@ SELECT obj, count(*) AS n_all, string_agg(id, ',' ORDER BY path) FILTER (WHERE l
 )
 def crdt_array(spark, d):
     """Replicated arrays: elements in weave order, deleted ones left out."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("user_id").orderBy("event_id")
     lags = [F.lag("event_id", k).over(order) for k in (1, 2, 3)]
     which = F.col("event_id") % 3
@@ -138,6 +182,21 @@ def vv_algebra(spark, d):
     return named(a.union(b).distinct(), "union").unionByName(named(a.intersect(b), "both")).unionByName(named(a.subtract(b), "only"))
 
 
+_CLOSURE_SQL = """e AS (SELECT event_id AS child, event_id // 2 AS parent FROM events WHERE event_id > 0 UNION SELECT event_id, event_id - 7 FROM events WHERE event_id >= 7 AND event_id % 5 = 0),
+r AS (SELECT 0 AS tip, event_id AS version FROM events WHERE event_id % 977 = 5 UNION SELECT 1, event_id FROM events WHERE event_id % 983 = 7 UNION SELECT tip, parent FROM r JOIN e ON child = version)"""
+
+
+@R.query(
+    f"""WITH RECURSIVE {_CLOSURE_SQL}, s AS (SELECT version, bool_or(tip = 0) AS a, bool_or(tip = 1) AS b FROM r GROUP BY version)
+SELECT CAST(version AS BIGINT) AS version, CASE WHEN a AND b THEN 'both' WHEN a THEN 'only a' ELSE 'only b' END AS side FROM s"""
+)
+def vv_closure(spark, d):
+    """Set algebra of two sets of versions with all that they rest on."""
+    events = table(spark, d, "events").select(F.col("event_id").alias("child"))
+    edges = events.where("child > 0").select("child", F.floor(F.col("child") / 2).alias("parent")).union(events.where("child >= 7 and child % 5 = 0").select("child", F.col("child") - 7)).distinct()
+    return vectors.closures(edges, events.where("child % 977 = 5").select(F.col("child").alias("version")), events.where("child % 983 = 7").select(F.col("child").alias("version")))
+
+
 @R.query(f"WITH {PACKETS_SQL} SELECT src, min(seq) AS first, max(seq) AS last FROM (SELECT src, seq, seq - row_number() OVER (PARTITION BY src ORDER BY seq) AS g FROM packets) GROUP BY src, g")
 def log_gaps(spark, d):
     return vectors.islands(packets(spark, d))

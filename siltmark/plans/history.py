@@ -41,10 +41,11 @@ def churn_dir(spark, d):
     return history.churn(numstat(spark, d), paths.top_directory(F.col("path")))
 
 
-@R.query(f"{_T}, {_CHURN.format(key='path')} SELECT count(*) AS n_files, CAST(sum(accumulated) AS BIGINT) AS accumulated, CAST(sum(net) AS BIGINT) AS net, round(sum(accumulated) / sum(net), 6) AS ratio, arg_max(key, struct_pack(a := accumulated, b := key)) AS busiest FROM c")
+@R.query(f"""{_T}, {_CHURN.format(key='path')} SELECT count(*) AS n_files, CAST(sum(accumulated) AS BIGINT) AS accumulated, CAST(sum(net) AS BIGINT) AS net, round(sum(accumulated) / sum(net), 6) AS ratio, arg_max(key, struct_pack(a := accumulated, b := key)) AS busiest,
+(SELECT key FROM c WHERE net > 0 ORDER BY accumulated / net DESC, key LIMIT 1) AS worst FROM c""")
 def churn_summary(spark, d):
     each = history.churn(numstat(spark, d), F.col("path"))
-    return each.agg(F.count("*").alias("n_files"), F.sum("accumulated").alias("accumulated"), F.sum("net").alias("net"), F.round(F.sum("accumulated") / F.sum("net"), 6).alias("ratio"), F.max_by("key", F.struct("accumulated", "key")).alias("busiest"))
+    return each.agg(F.count("*").alias("n_files"), F.sum("accumulated").alias("accumulated"), F.sum("net").alias("net"), F.round(F.sum("accumulated") / F.sum("net"), 6).alias("ratio"), F.max_by("key", F.struct("accumulated", "key")).alias("busiest"), F.min_by("key", F.struct((-F.col("accumulated") / F.nullif("net", F.lit(0))).alias("r"), F.col("key").alias("k"))).alias("worst"))
 
 
 @R.query(
@@ -80,12 +81,56 @@ def cochange_top(spark, d):
     return history.co_changed(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey", 7, 5)
 
 
+def _has_sql(words) -> str:
+    return "(" + " OR ".join(f"contains(m, '{w}')" for w in words) + ")"
+
+
+_MESSAGE_SQL = "lower(CASE conv_id % 5 WHEN 0 THEN 'Merge branch ' WHEN 1 THEN 'Add ' WHEN 2 THEN 'Fix typo in ' WHEN 3 THEN 'clean up test of ' ELSE '' END || coalesce(text, ''))"
+
+
 @R.query(
-    """SELECT doc_id, text ILIKE '%erer%' OR text ILIKE '%ight%' AS bugfix, text ILIKE '%anth%' AS feature, text ILIKE '%license%' OR text ILIKE '%copyright%' AS doc, starts_with(lower(text), 'the') AS is_merge FROM documents"""
+    f"WITH t AS (SELECT conv_id, turn, {_MESSAGE_SQL} AS m FROM conversations), f AS (SELECT conv_id, turn, {_has_sql(history.MERGE)} AS merge, "
+    + ", ".join(f'{_has_sql(words)} AS "{name}"' for name, words in history.CLASSES.items())
+    + " FROM t) SELECT conv_id, turn, merge, "
+    + ", ".join(f'NOT merge AND "{name}" AS "{name}"' for name in history.CLASSES)
+    + " FROM f"
 )
 def msg_classify(spark, d):
-    text = F.col("text")
-    return table(spark, d, "documents").select("doc_id", (text.ilike("%erer%") | text.ilike("%ight%")).alias("bugfix"), text.ilike("%anth%").alias("feature"), (text.ilike("%license%") | text.ilike("%copyright%")).alias("doc"), F.startswith(F.lower(text), F.lit("the")).alias("is_merge"))
+    """Messages by class; merges are of no other."""
+    start = F.element_at(F.array(*map(F.lit, ("Merge branch ", "Add ", "Fix typo in ", "clean up test of ", ""))), (F.col("conv_id") % 5 + 1).cast("int"))
+    found = history.classified(F.concat(start, F.coalesce("text", F.lit(""))))
+    return table(spark, d, "conversations").select("conv_id", "turn", *[c.alias(n) for n, c in found.items()])
+
+
+_FILE_SQL = "p_type || '/' || p_brand || '/' || CASE p_partkey % 7 WHEN 0 THEN 'Makefile' WHEN 1 THEN 'Makefile.inc' WHEN 2 THEN 'Kconfig' WHEN 3 THEN p_name || '.c' WHEN 4 THEN p_name || '.h' WHEN 5 THEN p_name || '.S' ELSE p_name || '.txt' END"
+
+
+@R.query(
+    f"""WITH f AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'README' ELSE {_FILE_SQL} END AS path, p_partkey % 7 AS kind, p_size % 5 AS own, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END AS total FROM part)
+SELECT p_partkey, CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '(root)' END AS subsystem,
+CASE WHEN path = 'README' THEN 'other' WHEN kind <= 1 THEN 'Makefile' WHEN kind = 2 THEN 'Kconfig' WHEN kind = 3 THEN '.c' WHEN kind = 4 THEN '.h' WHEN kind = 5 THEN '.S' ELSE 'other' END AS file_type,
+CAST(len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS INTEGER) AS depth, round(own / greatest(total, 1), 9) AS share FROM f"""
+)
+def path_columns(spark, d):
+    """Subsystem, file type, depth and share of lines (over one line at least) of each path."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    endings = F.array(F.lit("Makefile"), F.lit("Makefile.inc"), F.lit("Kconfig"), F.concat(name, F.lit(".c")), F.concat(name, F.lit(".h")), F.concat(name, F.lit(".S")), F.concat(name, F.lit(".txt")))
+    path = F.when(key % 11 == 0, "README").otherwise(F.concat_ws("/", "p_type", "p_brand", F.element_at(endings, (key % 7 + 1).cast("int"))))
+    own, total = F.col("p_size") % 5, F.when(F.col("p_size") % 4 == 0, 0).otherwise(F.col("p_size"))
+    rows = table(spark, d, "part").select("p_partkey", path.alias("path"), own.alias("own"), total.alias("total"))
+    return rows.select("p_partkey", paths.top_directory(F.col("path")).alias("subsystem"), paths.file_type(F.col("path")).alias("file_type"), paths.depth(F.col("path")).alias("depth"), F.round(F.col("own") / F.greatest("total", F.lit(1)), 9).alias("share"))
+
+
+@R.query(
+    """WITH n AS (SELECT p_type || '/' || p_partkey AS path, CAST(sum(CAST(l_quantity AS BIGINT) - 20 - l_linenumber) AS BIGINT) AS net, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS delta FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT path, net, delta, delta / net AS bytes_per_line FROM n WHERE net > 0 ORDER BY bytes_per_line DESC, path LIMIT 20"""
+)
+def bytes_per_line(spark, d):
+    """Twenty files with most bytes for each line they grew by."""
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_linenumber", "l_extendedprice")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", "p_type", F.col("p_partkey").cast("string")).alias("path"))
+    rows = lines.join(parts, "l_partkey").groupBy("path").agg(F.sum(F.col("l_quantity").cast("bigint") - 20 - F.col("l_linenumber")).alias("net"), F.sum(F.floor("l_extendedprice").cast("bigint")).alias("delta"))
+    return history.bytes_per_line(rows, 20)
 
 
 @R.query(
@@ -231,16 +276,30 @@ def pattern_score(spark, d):
     return out.orderBy(F.desc("score"), "page_id").limit(10)
 
 
+@R.query(
+    "WITH l AS (SELECT page_id, unnest(string_split(html || chr(10) || CASE page_id % 3 WHEN 0 THEN 'static inline void *p = mmap(0, n << 2); /* fast path */' WHEN 1 THEN 'char pad[16]; struct bitmap *b;' ELSE '' END, chr(10))) AS line FROM pages) SELECT page_id, CAST(sum("
+    + " + ".join(f"CASE WHEN regexp_matches(line, '(?i){p}') THEN {w} ELSE 0 END" for p, w in history.TUNED.items())
+    + ") AS BIGINT) AS score FROM l GROUP BY page_id ORDER BY score DESC, page_id LIMIT 10"
+)
+def pattern_score_code(spark, d):
+    """Ten texts with most lines of hand-tuned code."""
+    more = F.when(F.col("page_id") % 3 == 0, "static inline void *p = mmap(0, n << 2); /* fast path */").when(F.col("page_id") % 3 == 1, "char pad[16]; struct bitmap *b;").otherwise("")
+    rows = table(spark, d, "pages").select("page_id", F.concat("html", F.lit("\n"), more).alias("html"))
+    return history.pattern_scores(rows, "page_id", "html", history.TUNED).orderBy(F.desc("score"), "page_id").limit(10)
+
+
 @R.query("SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) WHERE regexp_matches(line, '(licen[cs]e|AKIA|password)')")
 def history_grep(spark, d):
     return history.grep(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", "(licen[cs]e|AKIA|password)")
 
 
-@R.query(
-    """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, '. ')) AS line FROM conversations), c AS (SELECT DISTINCT * FROM l)
-SELECT conv_id, turn, '+' AS sign, line FROM c n WHERE turn > 0 AND NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = n.conv_id AND p.turn = n.turn - 1 AND p.line = n.line)
-UNION ALL SELECT conv_id, turn + 1, '-', line FROM c p WHERE EXISTS (SELECT 1 FROM c q WHERE q.conv_id = p.conv_id AND q.turn = p.turn + 1) AND NOT EXISTS (SELECT 1 FROM c n WHERE n.conv_id = p.conv_id AND n.turn = p.turn + 1 AND n.line = p.line)"""
-)
+_DIFF_SQL = """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, '. ')) AS line FROM conversations), c AS (SELECT DISTINCT * FROM l),
+g AS (SELECT conv_id, turn, '+' AS sign, line FROM c n WHERE turn > 0 AND NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = n.conv_id AND p.turn = n.turn - 1 AND p.line = n.line)
+UNION ALL SELECT conv_id, turn + 1, '-', line FROM c p WHERE EXISTS (SELECT 1 FROM c q WHERE q.conv_id = p.conv_id AND q.turn = p.turn + 1) AND NOT EXISTS (SELECT 1 FROM c n WHERE n.conv_id = p.conv_id AND n.turn = p.turn + 1 AND n.line = p.line))
+SELECT * FROM g"""
+
+
+@R.query(_DIFF_SQL)
 def grep_diff(spark, d):
     """Lines that each version adds to, or drops from, the one before."""
     lines = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split("text", r"\. ")).alias("line")).distinct()
@@ -251,6 +310,12 @@ def grep_diff(spark, d):
     return added.unionByName(gone)
 
 
+@R.query(f"{_DIFF_SQL} WHERE regexp_matches(line, '(tion|ung|[Cc]i.n) ')")
+def grep_diff_match(spark, d):
+    """Changed lines that match."""
+    return grep_diff(spark, d).where(F.col("line").rlike("(tion|ung|[Cc]i.n) "))
+
+
 @R.query("SELECT year(o_orderdate) AS version, count(DISTINCT l_partkey) AS n_files, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_name LIKE '%e' GROUP BY 1")
 def files_by_extension(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")

@@ -102,6 +102,46 @@ def ks_ttl(spark, d):
     return keyspace.ttl(keys, F.expr(_NOW))
 
 
+_KEYS_SQL = f"""k AS (SELECT 'user/' || user_id AS key, date_trunc('second', max(ts)) AS set_at, CASE WHEN user_id % 3 <> 0 THEN (user_id % 40) * 86400000 END AS ttl_ms, arg_max(value, event_id) AS value, ['string', 'list', 'hash'][1 + user_id % 3] AS type FROM events GROUP BY user_id),
+a AS (SELECT *, ttl_ms IS NULL OR ttl_ms - (epoch_ms({_NOW}) - epoch_ms(set_at)) > 0 AS alive FROM k)"""
+
+
+def _keys(spark, d):
+    """Keys with the time they were set, the milliseconds they last, their latest value and type."""
+    user = F.col("user_id")
+    keys = table(spark, d, "events").groupBy("user_id").agg(F.date_trunc("second", F.max("ts").cast("timestamp")).alias("set_at"), F.max_by("value", "event_id").alias("value"))
+    kinds = F.array(F.lit("string"), F.lit("list"), F.lit("hash"))
+    return keys.select(F.concat(F.lit("user/"), user.cast("string")).alias("key"), "set_at", F.when(user % 3 != 0, (user % 40) * 86_400_000).alias("ttl_ms"), "value", F.element_at(kinds, (user % 3 + 1).cast("int")).alias("type"))
+
+
+def _wanted(spark, d):
+    return table(spark, d, "customer").select(F.concat(F.lit("user/"), F.col("c_custkey").cast("string")).alias("key"))
+
+
+@R.query(f"WITH {_KEYS_SQL} SELECT w.key, a.value, a.key IS NOT NULL AS found FROM (SELECT 'user/' || c_custkey AS key FROM customer) w LEFT JOIN a ON a.key = w.key AND alive")
+def ks_get(spark, d):
+    """Values of wanted keys; expired ones are missing."""
+    return keyspace.lookup(_keys(spark, d), _wanted(spark, d), F.expr(_NOW), "value")
+
+
+@R.query(f"WITH {_KEYS_SQL} SELECT w.key, coalesce(a.type, 'none') AS type FROM (SELECT 'user/' || c_custkey AS key FROM customer) w LEFT JOIN a ON a.key = w.key AND alive")
+def ks_type(spark, d):
+    found = keyspace.lookup(_keys(spark, d), _wanted(spark, d), F.expr(_NOW), "type")
+    return found.select("key", F.coalesce("type", F.lit("none")).alias("type"))
+
+
+@R.query(f"WITH {_KEYS_SQL} SELECT key FROM a WHERE alive AND key GLOB 'user/1?*'")
+def ks_keys_alive(spark, d):
+    """Keys that match a pattern and have not expired."""
+    return keyspace.unexpired(_keys(spark, d), F.expr(_NOW)).where(paths.glob(F.col("key"), "user/1?*")).select("key")
+
+
+@R.query(f"WITH {_KEYS_SQL} SELECT key, CASE WHEN alive THEN 'kept' ELSE 'swept' END AS state FROM a")
+def ks_sweep(spark, d):
+    kept, swept = keyspace.sweep(_keys(spark, d), F.expr(_NOW))
+    return kept.select("key", F.lit("kept").alias("state")).unionByName(swept.select("key", F.lit("swept").alias("state")))
+
+
 @R.query("SELECT p_partkey, p_name FROM part WHERE p_name GLOB 's*l ?i*' OR p_name GLOB '*? gear'")
 def ks_glob(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_name")

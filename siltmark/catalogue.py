@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltmark.plans import crdt, documents, history, keyspace, kv, search, swarm, trees
+from siltmark.plans import crdt, documents, formats, history, keyspace, kv, search, swarm, trees
 
 QUERIES, ORACLES = {}, {}
-for _module in (kv, keyspace, crdt, history, search, swarm, trees, documents):
+for _module in (kv, keyspace, crdt, history, search, swarm, trees, documents, formats):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

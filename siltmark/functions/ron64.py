@@ -26,5 +26,5 @@ def _digit(n: Column, shift: Column) -> Column:
 def decode(text: Column) -> Column:
     """Number of a base-64 text of up to 2^63 - 1; null if it is greater, empty or has a foreign character."""
     digits = F.filter(F.split(text, ""), lambda c: c != "")
-    value = F.aggregate(digits, F.lit(0).cast("bigint"), lambda a, c: a * 64 + F.instr(F.lit(DIGITS), c) - 1)
+    value = F.aggregate(digits, F.lit(0).cast("bigint"), lambda a, c: a * 64 + (F.instr(F.lit(DIGITS), c) - 1))
     return F.when(text.rlike("^(?:[0-9A-Z_a-z~]{1,10}|[0-7][0-9A-Z_a-z~]{10})$"), value)

@@ -10,7 +10,7 @@ RECORD = 128
 LAYOUT = (("name", 1, 32), ("login", 33, 16), ("grp", 49, 8), ("practice", 57, 8), ("repo", 65, 59), ("project_mark", 124, 1), ("mark", 125, 4))
 PRACTICES = 8
 
-STUDENT = "name string, login string, grp string, practice array<int>, project struct<repo:string,mark:int>, mark float"
+ROW = "name string, login string, grp string, practice array<int>, project struct<repo:string,mark:int>, mark float"
 
 
 def _part(raw: Column, first: Column | int, count: Column | int) -> Column:
@@ -40,7 +40,7 @@ def _float32(raw: Column) -> Column:
 
 
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Records of binary files: rows (STUDENT plus file, place, raw), and rejects (file, length) of files with a partial record.
+    """Records of binary files: rows (ROW plus file, place, raw), and rejects (file, length) of files with a partial record.
 
     Only built-in functions; every file is one row of the scan, and its records are cut from it in the JVM.
     """
@@ -76,12 +76,12 @@ def _hex_float32(value: Column) -> Column:
     return F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)])
 
 
-def write_records(students: DataFrame) -> DataFrame:
-    """128-byte records (column raw) of rows of STUDENT; texts are cut to their fields."""
+def write_records(rows: DataFrame) -> DataFrame:
+    """128-byte records (column raw) of rows of ROW; texts are cut to their fields."""
     byte = lambda c: F.lpad(F.hex(c.cast("bigint")), 2, "0")
     practice = F.concat(*[byte(F.get("practice", F.lit(i))) for i in range(PRACTICES)])
     parts = [_hex_text(F.col("name"), 32), _hex_text(F.col("login"), 16), _hex_text(F.col("grp"), 8), practice, _hex_text(F.col("project.repo"), 59), byte(F.col("project.mark")), _hex_float32(F.col("mark"))]
-    return students.select(F.unhex(F.concat(*parts)).alias("raw"))
+    return rows.select(F.unhex(F.concat(*parts)).alias("raw"))
 
 
 def valid() -> Column:
@@ -91,16 +91,17 @@ def valid() -> Column:
     return clean & F.forall("practice", lambda p: p.isin(0, 1)) & marks
 
 
-def to_lines(students: DataFrame, place: str) -> DataFrame:
+def to_lines(rows: DataFrame, place: str) -> DataFrame:
     """One line for each leaf: [place].field: value."""
     leaf = lambda name, value: F.struct(F.lit(name).alias("f"), value.cast("string").alias("v"))
     leaves = [leaf(n, F.col(n)) for n in ("name", "login", "grp", "mark")] + [leaf("project.repo", F.col("project.repo")), leaf("project.mark", F.col("project.mark"))]
     leaves += [leaf(f"practice[{i}]", F.get("practice", F.lit(i))) for i in range(PRACTICES)]
-    return students.select(place, F.explode(F.array(*leaves)).alias("l")).select(F.concat(F.lit("["), F.col(place).cast("string"), F.lit("]."), F.col("l.f"), F.lit(": "), F.col("l.v")).alias("line"))
+    return rows.select(place, F.explode(F.array(*leaves)).alias("l")).select(F.concat(F.lit("["), F.col(place).cast("string"), F.lit("]."), F.col("l.f"), F.lit(": "), F.col("l.v")).alias("line"))
 
 
 def from_lines(lines: DataFrame) -> DataFrame:
-    """Rows of STUDENT, with place, from lines; lines out of form are left out."""
+    """Rows of ROW, with place, from lines; lines out of form are left out."""
+    # fixed value: the form of a line
     rx = r"^\[(\d+)\]\.([a-z.\[\]0-9]+): (.*)$"
     rows = lines.where(F.col("line").rlike(rx)).select(F.regexp_extract("line", rx, 1).cast("bigint").alias("place"), F.regexp_extract("line", rx, 2).alias("f"), F.regexp_extract("line", rx, 3).alias("v"))
     names = ["name", "login", "grp", "mark", "project.repo", "project.mark"] + [f"practice[{i}]" for i in range(PRACTICES)]
@@ -111,27 +112,43 @@ def from_lines(lines: DataFrame) -> DataFrame:
     return wide.select("place", at("name").alias("name"), at("login").alias("login"), at("grp").alias("grp"), practice.alias("practice"), project.alias("project"), at("mark").try_cast("float").alias("mark"))
 
 
-def to_json(students: DataFrame) -> DataFrame:
-    return students.select(F.to_json(F.struct("name", "login", "grp", "practice", "project", "mark")).alias("json"))
+def to_json(rows: DataFrame) -> DataFrame:
+    return rows.select(F.to_json(F.struct("name", "login", "grp", "practice", "project", "mark")).alias("json"))
 
 
 def from_json(rows: DataFrame) -> DataFrame:
-    return rows.select(F.from_json("json", STUDENT).alias("s")).select("s.*")
+    return rows.select(F.from_json("json", ROW).alias("s")).select("s.*")
 
 
-def to_xml(students: DataFrame) -> DataFrame:
-    return students.select(F.to_xml(F.struct("name", "login", "grp", "practice", "project", "mark"), {"rowTag": "student"}).alias("xml"))
+def to_xml(rows: DataFrame) -> DataFrame:
+    return rows.select(F.to_xml(F.struct("name", "login", "grp", "practice", "project", "mark"), {"rowTag": "record"}).alias("xml"))
 
 
 def from_xml(rows: DataFrame) -> DataFrame:
-    return rows.select(F.from_xml("xml", STUDENT, {"rowTag": "student"}).alias("s")).select("s.*")
+    return rows.select(F.from_xml("xml", ROW, {"rowTag": "record"}).alias("s")).select("s.*")
 
 
-def read_addresses(spark: SparkSession, path: str) -> DataFrame:
-    """IPv4 numbers of files of little-endian 32-bit words; files of another size have none."""
-    files = spark.read.format("binaryFile").load(path).where("length % 4 = 0 and length > 0")
-    words = files.select(F.explode(F.transform(F.sequence(F.lit(0), (F.col("length") / 4).cast("int") - 1), lambda i: F.hex(F.call_function("substring", F.col("content"), i * 4 + 1, F.lit(4))))).alias("h"))
-    return words.select(F.conv(F.concat(*[F.substring("h", i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("bigint").alias("ip"))
+def read_addresses(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """IPv4 numbers (ip) of files of little-endian 32-bit words, and rejects (file, length): files of another size."""
+    files = spark.read.format("binaryFile").load(path)
+    rejects = files.where("length % 4 <> 0").select(F.col("path").alias("file"), "length")
+    whole = files.where("length % 4 = 0 and length > 0")
+    words = whole.select(F.explode(F.transform(F.sequence(F.lit(0), (F.col("length") / 4).cast("int") - 1), lambda i: F.hex(F.call_function("substring", F.col("content"), i * 4 + 1, F.lit(4))))).alias("h"))
+    return words.select(F.conv(F.concat(*[F.substring("h", i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("bigint").alias("ip")), rejects
+
+
+#: What is known of an address; one JSON object a line.
+PEER = "ip string, country string, country_code string, city string, latitude double, longitude double, asn bigint, aso string"
+
+
+def peer_lines(peers: DataFrame) -> DataFrame:
+    """Rows of PEER as JSON lines (value); what is not known is written as null."""
+    return peers.select(F.to_json(F.struct(*[f.split()[0] for f in PEER.split(", ")]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def parse_peers(lines: DataFrame) -> DataFrame:
+    """Rows of PEER of JSON lines (value); lines that are not JSON give none."""
+    return lines.select(F.from_json("value", PEER, {"mode": "PERMISSIVE"}).alias("p")).select("p.*").where("ip is not null")
 
 
 def read_numstat(spark: SparkSession, path: str) -> DataFrame:

@@ -119,8 +119,8 @@ def test_merkle(spark):
 def test_document_round_trip(spark):
     texts = ['{"a":1,"b":{"c":"x\\"y","d":["p","q"]},"e":true,"f":null}', '{"k":[[1,2],[3]]}', "not json"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, doc string")
-    leaves = documents.flatten_json(docs, "id", "doc", 5)
-    back = {r.id: r.json for r in documents.unflatten(leaves, "id", 5).collect()}
+    leaves = documents.flatten_json(docs, "id", "doc")
+    back = {r.id: r.json for r in documents.unflatten(leaves, "id").collect()}
     assert back == {0: texts[0], 1: texts[1]}
 
 
@@ -130,14 +130,14 @@ def test_locate_prefers_narrow_ranges(spark):
     assert {r.ip: r.name for r in swarm.locate(peers, ranges).collect()} == {5: "narrow", 70000: "wide"}
 
 
-STUDENTS = [("Ann Lee", "ann", "g1", [1, 0, 1, 1, 0, 0, 0, 1], ("https://x.example/r", 7), 8.5), ("Ünal", "u", "", [0] * 8, ("", 0), 0.0), ("B", "b", "g2", [1] * 8, ("r", 10), 0.1)]
+RECORDS = [("First row", "one", "g1", [1, 0, 1, 1, 0, 0, 0, 1], ("https://x.example/r", 7), 8.5), ("Ünï", "u", "", [0] * 8, ("", 0), 0.0), ("B", "b", "g2", [1] * 8, ("r", 10), 0.1)]
 
 
 def test_record_formats(spark, tmp_path):
-    rows = spark.createDataFrame(STUDENTS, formats.STUDENT)
+    rows = spark.createDataFrame(RECORDS, formats.ROW)
     want = sorted(map(str, rows.collect()))
     raw = [r.raw for r in formats.write_records(rows).collect()]
-    expected = [struct.pack("<32s16s8s8B59sBf", n.encode(), lg.encode(), g.encode(), *p, pr[0].encode(), pr[1], m) for n, lg, g, p, pr, m in STUDENTS]
+    expected = [struct.pack("<32s16s8s8B59sBf", n.encode(), lg.encode(), g.encode(), *p, pr[0].encode(), pr[1], m) for n, lg, g, p, pr, m in RECORDS]
     assert sorted(raw) == sorted(bytearray(e) for e in expected)
     (tmp_path / "a.bin").write_bytes(b"".join(expected))
     (tmp_path / "b.bin").write_bytes(b"".join(expected)[:-5])
@@ -152,11 +152,71 @@ def test_record_formats(spark, tmp_path):
 
 def test_invalid_records(spark):
     bad = [("A\x00B", "a", "g", [0] * 8, ("r", 1), 1.0), ("A", "a", "g", [2] + [0] * 7, ("r", 1), 1.0), ("A", "a", "g", [0] * 8, ("r", 11), 1.0), ("A", "a", "g", [0] * 8, ("r", 1), float("nan")), ("A", "a", "g", [0] * 8, ("r", 1), 10.5)]
-    assert spark.createDataFrame(bad, formats.STUDENT).where(formats.valid()).count() == 0
+    assert spark.createDataFrame(bad, formats.ROW).where(formats.valid()).count() == 0
 
 
 def test_addresses_and_numstat(spark, tmp_path):
     (tmp_path / "ips").write_bytes(struct.pack("<3I", 1, 4294967295, 167772161))
-    assert sorted(r.ip for r in formats.read_addresses(spark, str(tmp_path / "ips")).collect()) == [1, 167772161, 4294967295]
+    assert sorted(r.ip for r in formats.read_addresses(spark, str(tmp_path / "ips"))[0].collect()) == [1, 167772161, 4294967295]
     (tmp_path / "n.txt").write_text("3\t4\ta/b\n-\t-\tbin\nnoise\n")
     assert sorted(map(str, formats.read_numstat(spark, str(tmp_path / "n.txt")).collect())) == sorted(["Row(added=3, deleted=4, path='a/b')", "Row(added=None, deleted=None, path='bin')"])
+
+
+def test_xml_and_json_round_trips(spark):
+    rows = spark.createDataFrame(RECORDS, formats.ROW)
+    for there, back in ((formats.to_xml, formats.from_xml), (formats.to_json, formats.from_json)):
+        got = back(there(rows))
+        assert got.columns == rows.columns
+        assert sorted((r.login, r["name"], [*r.practice], r.project.mark, r.mark) for r in got.collect()) == sorted((r.login, r["name"], [*r.practice], r.project.mark, r.mark) for r in rows.collect())
+
+
+def test_files(spark, tmp_path):
+    """CSV with numbers that do not parse; addresses and files of another size."""
+    (tmp_path / "t.csv").write_text("a,b,c\nx,1,2.5\ny,?,\n")
+    got = formats.read_csv(spark, str(tmp_path / "t.csv"), "a string, b int, c double", ["b", "c"]).collect()
+    assert sorted(map(tuple, got)) == [("x", 1, 2.5), ("y", 0, 0.0)]
+    folder = tmp_path / "ips"
+    folder.mkdir()
+    (folder / "good").write_bytes(struct.pack("<3I", 1, 0x7F000001, 0xFFFFFFFF))
+    (folder / "odd").write_bytes(b"12345")
+    ips, rejects = formats.read_addresses(spark, str(folder))
+    assert sorted(r.ip for r in ips.collect()) == [1, 0x7F000001, 0xFFFFFFFF]
+    assert [(r.file.rpartition("/")[2], r.length) for r in rejects.collect()] == [("odd", 5)]
+
+
+def test_bencode():
+    from siltmark.functions import bencode
+
+    assert bencode._parse(b"d1:al1:b0:i-7ee1:cdee") == {"a": ["b", "", -7], "c": {}}
+    assert bencode._parse(b"l" * 5000 + b"e" * 5000)
+    for bad in (b"", b"i1", b"5:abc", b"l", b"e", b"di1e1:ae", b"i1ei2e", b"d1:ae", b"-1:a"):
+        with pytest.raises(ValueError):
+            bencode._parse(bad)
+
+
+def test_records_cut_short(spark):
+    """Records that are cut short, or of no known tag, decode to nothing."""
+    one = spark.range(1).select(documents.encode_leaf(F.lit("s"), F.lit("k"), F.lit("v" * 300)).alias("r")).first().r
+    two = spark.range(1).select(documents.encode_leaf(F.lit("n"), F.lit("key"), F.lit("12")).alias("r")).first().r
+    assert bytes(one[:6]) == b"S" + struct.pack("<IB", 300, 1) and bytes(two) == b"n\x32key12"
+    data = [bytes(one + two), bytes(one + two)[:-1], bytes(one)[:5], b"x\x11ab", b"", bytes(two) * 3]
+    got = [r.out for r in spark.createDataFrame([(i, x) for i, x in enumerate(data)], "i int, x binary").select("i", documents.decode_records(F.col("x")).alias("out")).orderBy("i").collect()]
+    assert [None if x is None else [(r.tag, r.key, r.value[:5]) for r in x] for x in got] == [[("S", "k", "vvvvv"), ("n", "key", "12")], None, None, None, [], [("n", "key", "12")] * 3]
+
+
+def test_ron64_of_eleven_digits(spark):
+    numbers = [0, 63, 64, (1 << 60) - 1, 1 << 60, (1 << 63) - 1]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", ron64.encode(F.col("n")).alias("s"))
+    assert sorted((r.n, r.back) for r in rows.withColumn("back", ron64.decode(F.col("s"))).collect()) == [(n, n) for n in numbers]
+    odd = spark.createDataFrame([("8" + "0" * 10,), ("0" * 12,), ("",), ("a-b",)], "s string")
+    assert all(r.n is None for r in odd.select(ron64.decode(F.col("s")).alias("n")).collect())
+
+
+def test_json_strings_keep_their_characters(spark):
+    """Control characters, quotes and backslashes survive, at any depth."""
+    import json
+
+    docs = [{"a": "tab\t nul\u0001 quote\" back\\ line\n", "b": [{"c": [[["deep"]]]}, None, True, 1.5]}, {"x": {"y": {"z": {"w": {"v": {"u": {"t": {"s": {"r": {"q": "ten"}}}}}}}}}}]
+    rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(docs)], "k int, doc string")
+    got = documents.unflatten(documents.flatten_json(rows, "k", "doc"), "k")
+    assert {r.k: json.loads(r.json) for r in got.collect()} == dict(enumerate(docs))

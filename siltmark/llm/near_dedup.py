@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import components, sized, stored
+from siltmark.llm.common import components, sized
+from siltmark.sources.durable import stored
 
 #: Words of a shingle.
 SHINGLE = 5

@@ -3,8 +3,9 @@
 Every run of several consecutive sentences is hashed; runs are joined over the whole corpus; the sentences of a run
 that occurred before - in a document of smaller id, or earlier in the same one - are removed.
 
-Hashes travel in packed arrays. A batch of documents settles its own repeats and sends each hash once, so a passage
-that very many documents share costs the join one record a batch.
+Hashes travel in packed arrays, to parts whose number follows from the size of the corpus. A batch of documents
+settles its own repeats and sends each hash once, so a passage that very many documents share costs the join one
+record a batch. Answers are packed too and gathered, so that one row for each document meets the texts.
 """
 
 from __future__ import annotations
@@ -18,31 +19,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltmark.llm.common import dealt, keyed, packed, part_count, part_runs
+
 #: A span is the shortest run from a sentence on with at least so many sentences and so many words.
-SPAN_SENTENCES, SPAN_WORDS = 3, 20
-#: A sentence ends after . ! or ?, at a line's end, and after one word in so many, chosen by the word's hash: so text
-#: without sentence marks is cut too, and a passage is cut alike wherever it stands. Of so many words in a row without
-#: any of these, the one of smallest hash ends a sentence, the first of equals: no sentence is longer.
-#: What stands outside a passage moves cuts only in its first WORD_CUT - 1 and last WORD_CUT words. A sentence that
-#: starts alike everywhere so begins with the word 2 * WORD_CUT - 1 (from 0) at the latest, and its span has at most
-#: SPAN_WORDS + WORD_CUT - 1 words: every passage of 50 words and more holds a span, and so does every document of
-#: SPAN_WORDS.
-WORD_CUT = 8
-_TOKEN = re.compile(r"[^\s]+|\n")
-
-
-class _Cuts(dict):
-    """Word -> 0 if a sentence ends after it, or else its hash."""
-
-    def __missing__(self, word: str) -> bool:
+SPAN_SENTENCES, SPAN_WORDS = 2, 20
+#: Words of a sentence that is left whole. A longer one - text without marks - is cut after the word of smallest hash
+#: of every WORD_CUT in a row (the first of equals), so it is cut alike wherever it stands but for the first
+#: WORD_CUT - 1 and last WORD_CUT words; its pieces have at most WORD_CUT words.
+#: What stands before a passage moves nothing beyond its first sentence, or first 2 * WORD_CUT - 1 words of one that
+#: is cut. So a passage of over 50 words that ends with a sentence holds SPAN_WORDS of whole sentences, two at least:
+#: it holds a span wherever it stands.
+LONG_SENTENCE, WORD_CUT = 24, 8
+#: Bytes of text for each part of the hashes.
+PART_BYTES = 16 << 20
+#: A sentence ends after . ! or ? before white space, and at a line's end.
+_END = re.compile(r"[.!?](?=\s|\Z)|\n")
+_WORD = re.compile(r"\S+")
+
+
+class _Hashes(dict):
+    """Word -> its hash; a bounded number is kept."""
+
+    def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        digest = xxhash.xxh64_intdigest(word)
-        self[word] = out = 0 if word[-1] in ".!?" or digest % WORD_CUT == 0 else digest
+        self[word] = out = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
         return out
 
 
-_cuts = _Cuts()
+_hashes = _Hashes()
 
 
 def _smallest(hashes: list[int]) -> list[int]:
@@ -59,41 +64,40 @@ def _smallest(hashes: list[int]) -> list[int]:
     return out
 
 
-def sentences(text: str) -> list[tuple[int, int, str, int]]:
-    """Sentences of a text: (start, end) in code points, the words joined by spaces, number of words."""
-    out, words, marks, cuts = [], [], [], _cuts
-
-    def close(n: int) -> None:
-        """End a sentence after the words so far, and inside the first ``n`` of them where these are many."""
-        at = 0
-        if n >= WORD_CUT:
-            for k in _smallest([cuts[w] for w in words[:n]]):
-                out.append((marks[at].start(), marks[k].end(), " ".join(words[at : k + 1]), k + 1 - at))
-                at = k + 1
-        if at < len(words):
-            out.append((marks[at].start(), marks[-1].end(), " ".join(words[at:]), len(words) - at))
-        words.clear()
-        marks.clear()
-
-    for m in _TOKEN.finditer(text):
-        word = m.group()
-        if word == "\n":
-            if words:
-                close(len(words) - 1)
-            continue
-        words.append(word)
-        marks.append(m)
-        if not cuts[word]:
-            close(len(words) - 1)
-    if words:
-        close(len(words))
+def sentences(text: str) -> list[tuple[int, str, int]]:
+    """Sentences of a text: (end in code points, the words joined by spaces, number of words).
+
+    A sentence begins where the one before ends, so white space belongs to the sentence that follows it.
+    """
+    out, start = [], 0
+    ends = [m.end() for m in _END.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    for end in ends:
+        words = text[start:end].split()
+        n = len(words)
+        if n > LONG_SENTENCE:
+            at, places = 0, [m.end() for m in _WORD.finditer(text, start, end)]
+            for k in _smallest([_hashes[w] for w in words]):
+                if k < n - 1:
+                    out.append((places[k], " ".join(words[at : k + 1]), k + 1 - at))
+                    at = k + 1
+            out.append((places[-1], " ".join(words[at:]), n - at))
+        elif n:
+            out.append((end - 1 if text[end - 1] == "\n" else end, " ".join(words), n))
+        start = end
     return out
 
 
-def spans(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, bytes]]:
-    """Spans over sentences: (first, one past the last, 128-bit hash). A document of less than one span has none."""
-    digests = [xxhash.xxh3_128_digest(s[2].encode("utf-8", "replace")) for s in found]
-    counts = [s[3] for s in found]
+def spans(found: list[tuple[int, str, int]]) -> list[tuple[int, int, bytes]]:
+    """Spans over sentences: (first, one past the last, 128-bit hash). A document of less than one span has none.
+
+    A document of one sentence of SPAN_WORDS or more has that as its span.
+    """
+    if len(found) == 1 and found[0][2] >= SPAN_WORDS:
+        return [(0, 1, xxhash.xxh3_128_digest(found[0][1].encode("utf-8", "replace")))]
+    digests = [xxhash.xxh3_128_digest(s[1].encode("utf-8", "replace")) for s in found]
+    counts = [s[2] for s in found]
     out, end, total = [], 0, 0
     for i in range(len(found)):
         while end < len(found) and (end - i < SPAN_SENTENCES or total < SPAN_WORDS):
@@ -106,30 +110,40 @@ def spans(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, bytes]
     return out
 
 
-_FIRST = -(1 << 63)
-
-
-_SENT = pa.schema([("part", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("docs", pa.binary()), ("spans", pa.binary())])
-_SENT_SQL = "part bigint, d bigint, h bigint, docs binary, spans binary"
+_SENT = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("spans", pa.binary())])
+_SENT_SQL = "part bigint, docs binary, spans binary"
 _DOC = np.dtype([("d", "<i8"), ("h", "<i8")])
 #: 96 bits of a hash, the document's place in the list beside, first sentence, number of sentences.
-_SPAN = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<u2"), ("first", "<u4"), ("n", "<u2")])
-_PLACE = np.dtype([("first", "<u4"), ("n", "<u2")])
+_SPAN = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<u4"), ("first", "<u4"), ("n", "<u2")])
+#: The document's place in the list beside, first sentence, number of sentences.
+_PLACE = np.dtype([("doc", "<u4"), ("first", "<u4"), ("n", "<u2")])
 
 
-def _answers(docs: np.ndarray, found: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Places by document: (d, h, packed places)."""
-    order = np.argsort(found["doc"], kind="stable")
-    found = found[order]
-    heads = np.flatnonzero(np.concatenate([[True], found["doc"][1:] != found["doc"][:-1]])[: len(found)])
+def _lists(docs: np.ndarray, found: np.ndarray, part: np.ndarray, first_part: int = 0) -> list[tuple]:
+    """Rows (part, documents, records) for the parts of ``found``, whose field doc is made to count the row's own documents."""
+    order = np.argsort(part, kind="stable")
+    part, found = part[order], found[order]
+    heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
     out = []
-    for s, e in zip(heads, np.append(heads[1:], len(found))[: len(heads)], strict=True):
-        places = np.zeros(e - s, _PLACE)
-        places["first"], places["n"] = found["first"][s:e], found["n"][s:e]
-        out.append((int(docs["d"][found["doc"][s]]), int(docs["h"][found["doc"][s]]), places.tobytes()))
+    for s, e in zip(heads, np.append(heads[1:], len(part))[: len(heads)], strict=True):
+        chosen = found[s:e].copy()
+        used, chosen["doc"] = np.unique(chosen["doc"], return_inverse=True)
+        out.append((int(part[s]) + first_part, docs[used].tobytes(), chosen.tobytes()))
     return out
 
 
+def _joined(rows: list[tuple[bytes, bytes]], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and records of several rows, as one list of each."""
+    docs, found, base = [], [], 0
+    for d, x in rows:
+        own = np.frombuffer(x, kind).copy()
+        own["doc"] += base
+        docs.append(np.frombuffer(d, _DOC))
+        base += len(docs[-1])
+        found.append(own)
+    return np.concatenate(docs), np.concatenate(found)
+
+
 def _later(docs: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans sorted by hash, document and place; whether each stands after the first of its hash."""
     found = found[np.lexsort((found["first"], docs["d"][found["doc"]], found["b"], found["a"]))]
@@ -139,8 +153,12 @@ def _later(docs: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return found, (d > d[lead]) | (d == d[lead]) & (found["first"] > found["first"][lead])
 
 
-def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+def _places(docs: np.ndarray, found: np.ndarray, parts: int) -> list[tuple]:
+    """Places of repeated spans for the parts of documents, numbered from ``parts`` on."""
+    out = np.zeros(len(found), _PLACE)
+    for name in _PLACE.names:
+        out[name] = found[name]
+    return _lists(docs, out, (docs["d"] ^ docs["h"])[found["doc"]] % parts, parts)
 
 
 def _send(parts: int):
@@ -150,68 +168,58 @@ def _send(parts: int):
                 batch = whole.slice(at, 10_000)
                 docs = np.zeros(batch.num_rows, _DOC)
                 docs["d"], docs["h"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                found, hashes = [], []
+                columns, hashes = [], []
                 for i, text in enumerate(batch.column(2)):
-                    for first, last, digest in spans(sentences(text.as_py() or "")):
-                        found.append((i, first, last - first))
-                        hashes.append(digest)
-                packed = np.zeros(len(found), _SPAN)
-                if found:
-                    columns = np.array(found, np.int64)
+                    found = spans(sentences(text.as_py() or ""))
+                    columns += [(i, first, last - first) for first, last, _ in found]
+                    hashes += [digest for _, _, digest in found]
+                own = np.zeros(len(hashes), _SPAN)
+                if hashes:
                     digest = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
-                    packed["a"], packed["b"], packed["doc"], packed["first"], packed["n"] = digest[:, 0], digest[:, 1] >> np.uint64(32), columns[:, 0], columns[:, 1], np.minimum(columns[:, 2], 65535)
-                packed, later = _later(docs, packed)
-                out = [(-1 - d % parts, d, h, None, places) for d, h, places in _answers(docs, packed[later])]
-                packed = packed[~later]
-                part = (packed["a"] % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in range(parts):
-                    chosen = packed[order[cuts[p] : cuts[p + 1]]]
-                    if len(chosen):
-                        used, place = np.unique(chosen["doc"], return_inverse=True)
-                        chosen["doc"] = place
-                        out.append((p, None, None, docs[used].tobytes(), chosen.tobytes()))
-                yield _packed(out, _SENT)
+                    own["a"], own["b"] = digest[:, 0], digest[:, 1] >> np.uint64(32)
+                    own["doc"], own["first"], own["n"] = np.array(columns, np.int64).T
+                own, later = _later(docs, own)
+                sent = own[~later]
+                yield packed(_places(docs, own[later], parts) + _lists(docs, sent, (sent["a"] % np.uint64(parts)).astype(np.int64)), _SENT)
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("places", pa.binary())])
-    lists, found, base = [], [], 0
-    wide = np.dtype([(n, "<i8" if n == "doc" else _SPAN[n].str) for n in _SPAN.names])
-    for batch in batches:
-        passed = []
-        for part, d, h, docs, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if part < 0:
-                passed.append((d, h, blob))
-                continue
-            own = np.frombuffer(blob, _SPAN).astype(wide)
-            own["doc"] += base
-            lists.append(np.frombuffer(docs, _DOC))
-            base += len(lists[-1])
-            found.append(own)
-        if passed:
-            yield _packed(passed, schema)
-    if found:
-        docs = np.concatenate(lists)
-        spans_, later = _later(docs, np.concatenate(found))
-        rows = _answers(docs, spans_[later])
-        for at in range(0, len(rows), 5000):
-            yield _packed(rows[at : at + 5000], schema)
+def _meet(parts: int):
+    """Of the spans of each part those that stand after the first of their hash; rows for parts of documents pass."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in part_runs(batches):
+            if part >= parts:
+                yield packed([(part, *r) for r in rows], _SENT)
+            else:
+                docs, found = _joined(rows, _SPAN)
+                found, later = _later(docs, found)
+                yield packed(_places(docs, found[later], parts), _SENT)
 
-def repeated_spans(documents: DataFrame) -> DataFrame:
-    """Spans that occurred before, by document: d, h (its key), places (packed first sentence and number). No text travels."""
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = _keyed(documents).mapInArrow(_send(parts), _SENT_SQL)
-    return sent.repartition(parts, "part").mapInArrow(_meet, "d bigint, h bigint, places binary")
+    return run
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_FIRST)).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t"))
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of a part: its packed places."""
+    schema = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("places", pa.binary())])
+    for _, rows in part_runs(batches):
+        docs, found = _joined(rows, _PLACE)
+        docs, which = np.unique(docs, return_inverse=True)
+        own = which[found["doc"]]
+        order = np.argsort(own, kind="stable")
+        found, ends = found[order], np.searchsorted(own[order], np.arange(len(docs)), "right")
+        out = [(int(d["d"]), int(d["h"]), found[s:e].tobytes()) for d, s, e in zip(docs, np.append(0, ends[:-1]), ends, strict=True)]
+        for at in range(0, len(out), 5000):
+            yield packed(out[at : at + 5000], schema)
+
+
+def repeated_spans(documents: DataFrame) -> DataFrame:
+    """Spans that occurred before, one row for each document that has any: d, h (its key), places (packed first sentence and number). No text travels."""
+    parts = part_count(documents, PART_BYTES)
+    sent = keyed(documents).select("_d", "_h", "_t").mapInArrow(_send(parts), _SENT_SQL)
+    met = dealt(sent, "part", 2 * parts).mapInArrow(_meet(parts), _SENT_SQL)
+    return dealt(met, F.col("part") - parts, parts).mapInArrow(_gather, "d bigint, h bigint, places binary")
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -223,9 +231,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     place in the text decides which span is first, and equal rows are treated alike. Other columns are ignored; an
     empty table gives no rows.
     """
-    gone = repeated_spans(documents).groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list("places").alias("places"))
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("_t")).select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_FIRST)).alias("_d"), F.xxhash64("_t").alias("_h"), "_t")
-    rows = rows.join(gone, ["_d", "_h"], "left").select("doc_id", "_t", "places")
+    gone = repeated_spans(documents).select(F.col("d").alias("_d"), F.col("h").alias("_h"), "places")
+    rows = keyed(documents).join(gone, ["_d", "_h"], "left").select("doc_id", "_t", "places")
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,14 +248,14 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                     texts.append(text)
                     continue
                 edge = np.zeros(len(found) + 1, np.int64)
-                gone = np.frombuffer(b"".join(places), _PLACE)
+                gone = np.frombuffer(places, _PLACE)
                 np.add.at(edge, gone["first"].astype(np.int64), 1)
                 np.add.at(edge, gone["first"].astype(np.int64) + gone["n"], -1)
                 covered = np.cumsum(edge[:-1]) > 0
                 removed.append(int(covered.sum()))
-                words.append(sum(s[3] for s, c in zip(found, covered, strict=True) if c))
+                words.append(sum(s[2] for s, c in zip(found, covered, strict=True) if c))
                 out, at = [], 0
-                for (_, e, _, _), c in zip(found, covered, strict=True):
+                for (e, _, _), c in zip(found, covered, strict=True):
                     if not c:
                         out.append(text[at:e])
                     at = e

@@ -43,9 +43,10 @@ SHARD_TEXTS, PLACE_BITS = 20_000, 21
 PART_BYTES, SLICE_BYTES, WINDOW_SLICE_BYTES = 16 << 20, 24 << 20, 8 << 20
 _DOC = np.dtype([("d", "<i8"), ("h", "<i8")])
 #: 48 bits of an anchor's hash, its document's place in the slice; how many windows it has there: at most 2 ** n.
-_SEEN = np.dtype([("low", "<u4"), ("high", "<u2"), ("doc", "<u2"), ("n", "u1")])
+_SEEN = np.dtype([("key", "<u8"), ("doc", "<u2"), ("n", "u1")])
 #: A window's document (place in a list), where it starts in it, and which of its strings start in a smaller document.
 _MASK = np.dtype([("doc", "<u4"), ("at", "<u4"), ("mask", "<u4")])
+_KEY = np.dtype([("key", "<u8")])
 #: Mark of a frequent anchor, above the 48 bits.
 _FREQUENT = np.uint64(1 << 63)
 _draw = np.random.default_rng(50)
@@ -105,6 +106,28 @@ def contexts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         yield at[own], offset[own] + starts[head] - begins[own], count, hashed[anchor[head]] >> np.uint64(16), buffer, starts[head]
 
 
+def _pack(found: np.ndarray) -> bytes:
+    """Records as bytes: each field's bytes of one place together, compressed; 64-bit fields as steps from one to the next."""
+    planes = []
+    for name in found.dtype.names:
+        own = np.ascontiguousarray(found[name])
+        if own.dtype.itemsize == 8:
+            own = np.diff(own.view(np.uint64), prepend=np.uint64(0))
+        planes.append(own.view(np.uint8).reshape(len(own), own.dtype.itemsize).T.ravel())
+    return zstandard.compress(np.concatenate(planes).tobytes(), 1)
+
+
+def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    out, at = np.zeros(len(raw) // kind.itemsize, kind), 0
+    for name in kind.names:
+        size = kind[name].itemsize
+        own = np.ascontiguousarray(raw[at : at + size * len(out)].reshape(size, -1).T).view(kind[name]).ravel()
+        out[name] = np.cumsum(own.view(np.uint64), dtype=np.uint64).view(kind[name]) if size == 8 else own
+        at += size * len(out)
+    return out
+
+
 def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, list[bytes], pa.RecordBatch]]:
     """(keys of documents, texts, rows) of slices of about ``size`` bytes and at most 10,000 rows; columns _d, _h, _t first."""
     for batch in batches:
@@ -159,24 +182,20 @@ def _send_anchors(parts: int):
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
             size = np.diff(np.append(head, len(key)))
             found = np.zeros(len(key), _SEEN)
-            found["low"], found["high"], found["doc"] = key & np.uint64(0xFFFFFFFF), key >> np.uint64(32), own
+            found["key"], found["doc"] = key, own
             last = np.append(head[1:], len(key))[: len(head)] - 1
             several = np.repeat(own[head] != own[last], size)
             fresh = np.concatenate([[True], both[1:] != both[:-1]])[: len(key)]
             mine = xxhash.xxh3_64_intdigest(docs.tobytes()) - (1 << 63)
-            rows = [(parts + mine % parts, mine, docs.tobytes(), found[several & fresh].tobytes())]
+            rows = [(parts + mine % parts, mine, docs.tobytes(), _pack(found[several & fresh]))]
             sent = found[head]
             sent["n"] = np.ceil(np.log2(size)).astype(np.uint8) if len(size) else 0
-            rows += [(p, mine, None, sent[chosen].tobytes()) for p, chosen in _by_part((key[head] % np.uint64(parts)).astype(np.int64))]
+            rows += [(p, mine, None, _pack(sent[chosen])) for p, chosen in _by_part((key[head] % np.uint64(parts)).astype(np.int64))]
             yield packed(rows, _SENT)
 
     return run
 
 
-def _key(found: np.ndarray) -> np.ndarray:
-    return found["high"].astype(np.uint64) << np.uint64(32) | found["low"]
-
-
 def _meet_anchors(parts: int):
     """Back to each slice the anchors that others sent too, or that have more windows than a shard; those are marked."""
 
@@ -185,9 +204,9 @@ def _meet_anchors(parts: int):
             if part >= parts:
                 yield packed([(part, *r) for r in rows], _SENT)
                 continue
-            found = np.concatenate([np.frombuffer(r[2], _SEEN) for r in rows])
-            sender = np.repeat(np.arange(len(rows)), [len(r[2]) // _SEEN.itemsize for r in rows])
-            key = _key(found)
+            each = [_unpack(r[2], _SEEN) for r in rows]
+            found, sender = np.concatenate(each), np.repeat(np.arange(len(rows)), [len(x) for x in each])
+            key = found["key"]
             order = np.argsort(key)
             key = key[order]
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
@@ -199,7 +218,7 @@ def _meet_anchors(parts: int):
             answer["n"] = marks
             out = []
             for s, chosen in _by_part(sender[order]):
-                out.append((parts + rows[s][0] % parts, rows[s][0], None, answer[chosen].tobytes()))
+                out.append((parts + rows[s][0] % parts, rows[s][0], None, _pack(answer[chosen])))
             yield packed(out, _SENT)
 
     return run
@@ -211,18 +230,18 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in part_runs(batches):
         by_slice: dict[int, list[tuple]] = {}
         for name, docs, x in rows:
-            by_slice.setdefault(name, []).append((docs, np.frombuffer(x, _SEEN)))
+            by_slice.setdefault(name, []).append((docs, _unpack(x, _SEEN)))
         for own in by_slice.values():
             docs = next((np.frombuffer(d, _DOC) for d, _ in own if d is not None), None)
             if docs is None:
                 raise RuntimeError("a slice's documents are not those that were sent: the input gives other rows each time it is read")
             found = np.concatenate([x for _, x in own])
-            key = _key(found)
+            key = found["key"]
             frequent = np.unique(key[found["n"] > 0]) if any(d is None for d, _ in own) else key[:0]
             key = np.where(np.isin(key, frequent), key | _FREQUENT, key)
             order = np.argsort(found["doc"], kind="stable")
             key = key[order]
-            out = [(int(docs["d"][d]), int(docs["h"][d]), np.unique(key[s:e]).tobytes()) for d, s, e in _groups(found["doc"][order])]
+            out = [(int(docs["d"][d]), int(docs["h"][d]), _pack(np.unique(key[s:e]).view(_KEY))) for d, s, e in _groups(found["doc"][order])]
             for at in range(0, len(out), 5000):
                 yield packed(out[at : at + 5000], schema)
 
@@ -360,7 +379,7 @@ def smaller_elsewhere(rows: np.ndarray, documents: np.ndarray, keys: np.ndarray)
     low = np.empty((len(kept), STARTS), np.int64)
     order = np.argsort(keys[kept], kind="stable")
     at = 0
-    for _, s, e in [*_groups(keys[kept][order].view(np.int64)), (0, len(kept), len(kept) + 2 * SHARD_TEXTS)]:
+    for _, s, e in [*_groups(keys[kept][order]), (0, len(kept), len(kept) + 2 * SHARD_TEXTS)]:
         if e - at > SHARD_TEXTS and s > at:
             chosen = kept[order[at:s]]
             low[order[at:s]] = smallest_document(rows[chosen], documents[chosen])[0]
@@ -399,8 +418,8 @@ def merged(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 _WINDOWS = pa.schema([("part", pa.int64()), ("kind", pa.string()), ("docs", pa.binary()), ("x", pa.binary()), ("text", pa.binary())])
 _WINDOWS_SQL = "part bigint, kind string, docs binary, x binary, text binary"
-#: A window that is sent: document, start, anchor; a string: the same, and its place in the window.
-_SHIPPED = np.dtype([("doc", "<u4"), ("at", "<u4"), ("low", "<u4"), ("high", "<u2"), ("column", "u1")])
+#: A window that is sent: document, start, bits of its anchor's hash; a string: the same, and its place in the window.
+_SHIPPED = np.dtype([("doc", "<u4"), ("at", "<u4"), ("anchor", "<u4"), ("column", "u1")])
 
 
 def _rows_of(kind: str, docs: np.ndarray, found: np.ndarray, part: np.ndarray, text: np.ndarray | None = None) -> list[tuple]:
@@ -409,8 +428,8 @@ def _rows_of(kind: str, docs: np.ndarray, found: np.ndarray, part: np.ndarray, t
     for p, chosen in _by_part(part):
         own = found[chosen].copy()
         used, own["doc"] = np.unique(own["doc"], return_inverse=True)
-        blob = None if text is None else zstandard.compress(np.ascontiguousarray(text[chosen]).tobytes(), 1)
-        out.append((p, kind, docs[used].tobytes(), own.tobytes(), blob))
+        blob = None if text is None else zstandard.compress(np.ascontiguousarray(text[chosen]).tobytes(), 3)
+        out.append((p, kind, _pack(docs[used]), _pack(own), blob))
     return out
 
 
@@ -432,23 +451,24 @@ def _send_windows(parts: int):
             salt = _mix(np.arange(1, len(docs) + 1, dtype=np.uint64)) & ~_FREQUENT
             shared = [np.zeros(0, np.uint64)]
             for at, blobs in enumerate(batch.column(3).to_pylist()):
-                shared += [np.frombuffer(blob, np.uint64) ^ salt[at] for blob in blobs]
+                shared += [_unpack(blob, _KEY)["key"] ^ salt[at] for blob in blobs]
             shared = np.concatenate(shared)
             frequent = shared & _FREQUENT > 0
             shared = shared & ~_FREQUENT
             order = np.argsort(shared)
             shared, frequent = shared[order], frequent[order]
-            texts_, found, often = [np.zeros((0, SPAN + 4), np.uint8)], [np.zeros(0, _SHIPPED)], [np.zeros(0, bool)]
+            texts_, found, often, keys = [np.zeros((0, SPAN + 4), np.uint8)], [np.zeros(0, _SHIPPED)], [np.zeros(0, bool)], [np.zeros(0, np.uint64)]
             for at, offset, count, key, buffer, place in contexts(texts):
                 probe = key ^ salt[at]
                 near = np.minimum(np.searchsorted(shared, probe), max(len(shared) - 1, 0))
                 hit = np.flatnonzero(shared[near] == probe) if len(shared) else np.zeros(0, np.int64)
                 own = np.zeros(len(hit), _SHIPPED)
-                own["doc"], own["at"], own["low"], own["high"] = at[hit], offset[hit], key[hit] & np.uint64(0xFFFFFFFF), key[hit] >> np.uint64(32)
+                own["doc"], own["at"], own["anchor"] = at[hit], offset[hit], key[hit] & np.uint64(0xFFFFFFFF)
+                keys.append(key[hit])
                 texts_.append(_texts_of(buffer, place[hit], count[hit]))
                 found.append(own)
                 often.append(frequent[near[hit]] if len(shared) else np.zeros(0, bool))
-            text, found, often = np.concatenate(texts_), np.concatenate(found), np.concatenate(often)
+            text, found, often, keys = np.concatenate(texts_), np.concatenate(found), np.concatenate(often), np.concatenate(keys)
             ids = docs["d"][found["doc"]]
             first = distinct_windows(text, ids)
             every = (np.uint32(1) << text[:, SPAN].astype(np.uint32)) - np.uint32(1)
@@ -466,8 +486,7 @@ def _send_windows(parts: int):
             # nothing is smaller than a null id: of its equal windows one is enough
             ship &= (ids != FIRST_ID) | (first == np.arange(len(first)))
             rare = np.flatnonzero(ship & ~often)
-            key = _key(found[rare])
-            out += _rows_of("window", docs, found[rare], (key % np.uint64(parts)).astype(np.int64), text[rare])
+            out += _rows_of("window", docs, found[rare], (keys[rare] % np.uint64(parts)).astype(np.int64), text[rare])
             often = np.flatnonzero(ship & often)
             for at in range(0, len(often), SHARD_TEXTS):
                 own = often[at : at + SHARD_TEXTS]
@@ -491,9 +510,9 @@ def _gathered(rows: list[tuple], kind: np.dtype) -> tuple[np.ndarray, np.ndarray
     """Documents and records of several rows as one list of each, and the number of records of each row."""
     docs, found, sizes, base = [np.zeros(0, _DOC)], [np.zeros(0, kind)], [], 0
     for _, d, x, _ in rows:
-        own = np.frombuffer(x, kind).copy()
+        own = _unpack(x, kind)
         own["doc"] += base
-        docs.append(np.frombuffer(d, _DOC))
+        docs.append(_unpack(d, _DOC))
         base += len(docs[-1])
         found.append(own)
         sizes.append(len(own))
@@ -513,7 +532,7 @@ def _meet_windows(parts: int):
             if own:
                 docs, found, _ = _gathered(own, _SHIPPED)
                 text = np.concatenate([np.frombuffer(zstandard.decompress(r[3]), np.uint8).reshape(-1, SPAN + 4) for r in own])
-                mask = smaller_elsewhere(text, docs["d"][found["doc"]], _key(found))
+                mask = smaller_elsewhere(text, docs["d"][found["doc"]], found["anchor"])
                 hit = mask > 0
                 out += _answers("mask", docs, found["doc"][hit], found["at"][hit], mask[hit], parts)
             own = [r for r in rows if r[0] == "string"]
@@ -608,7 +627,8 @@ def remove_repeated_bytes(documents: DataFrame, keep_text: bool = True) -> DataF
     shared = dealt(met, F.col("part") - parts, parts).mapInArrow(_learn, "d bigint, h bigint, keys binary")
     # slices that repeat rows tell the same document twice
     shared = shared.groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list("keys").alias("keys"))
-    asked = rows.join(shared, key).select(*key, "_t", "keys")
+    # doc_id goes along so that both joins have one and the same shuffle of the texts
+    asked = rows.join(shared, key).select(*key, "_t", "keys", "doc_id")
     windows = asked.mapInArrow(_send_windows(parts), _WINDOWS_SQL)
     found = dealt(windows, "part", 2 * parts).mapInArrow(_meet_windows(parts), _WINDOWS_SQL)
     masks = dealt(found, F.col("part") - parts, parts).mapInArrow(_gather, "d bigint, h bigint, masks binary")

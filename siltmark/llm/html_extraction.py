@@ -11,6 +11,7 @@ import math
 import pickle
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 # Element kinds of the HTML standard, and words that authors give such sections as class or id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style noscript template title iframe object svg math canvas audio video select button textarea datalist".split())
+HIDDEN = frozenset("head script style noscript template title iframe object svg canvas audio video select button textarea datalist".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tr"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "thead": {"table"}}
@@ -55,11 +57,14 @@ class _Builder(HTMLParser):
         self.node, self.run = self.root, None
         self.order: list[tuple[Node, list[str]]] = []
         self.hidden: list[str] = []
+        self.inside = 0  # blocks that were opened in a hidden element
+        self.count = Counter({"html": 1})  # open elements by tag
         self.links = 0
 
     def _close(self, to: int) -> None:
         """Close the open elements from place ``to`` on."""
         for tag, node in self.open[to:]:
+            self.count[tag] -= 1
             if tag == "a":
                 self.links -= 1
             if node is not None:
@@ -68,17 +73,16 @@ class _Builder(HTMLParser):
         self.node = next(n for _, n in reversed(self.open) if n is not None)
 
     def handle_starttag(self, tag, attrs):
+        if self.hidden == ["head"] and tag not in IN_HEAD:
+            self.hidden.clear()  # neither its end tag nor that of the body's start need be written
         if self.hidden:
-            if tag == self.hidden[-1] and tag not in VOID:
+            if tag == self.hidden[-1] or self.hidden == ["head"] and tag in HIDDEN:
                 self.hidden.append(tag)
-            elif tag == "body" and self.hidden[0] == "head":
-                self.hidden.clear()
-            else:
-                return
-            if self.hidden:
-                return
+            self.inside += tag in BLOCKS
+            return
         if tag in HIDDEN:
             self.hidden.append(tag)
+            self.inside = 0
             return
         if tag in VOID:
             if tag in ("br", "hr") and self.run is not None:
@@ -86,14 +90,12 @@ class _Builder(HTMLParser):
                 if tag == "hr":
                     self.run = None
             return
-        if tag in ("html", "body") and any(t == tag for t, _ in self.open):
+        if tag in ("html", "body") and self.count[tag]:
             return
-        if tag in CLOSES_P:
-            at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] == "p"), 0)
-            if at and not any(n is not None for _, n in self.open[at + 1 :]):
-                self._close(at)
+        if tag in CLOSES_P and self.node.tag == "p":
+            self._close(next(i for i in range(len(self.open) - 1, 0, -1) if self.open[i][1] is self.node))
         closes = SAME_CLOSES.get(tag)
-        if closes:
+        if closes and any(self.count[t] for t in closes):
             for i in range(len(self.open) - 1, 0, -1):
                 if self.open[i][0] in SCOPES.get(tag, ()):
                     break
@@ -102,25 +104,34 @@ class _Builder(HTMLParser):
         if tag not in BLOCKS:
             if tag == "a":
                 self.links += 1
+            self.count[tag] += 1
             self.open.append((tag, None))
             return
         names = frozenset(w for k, v in attrs if k in ("class", "id", "role") and v for w in _NAME.findall(v.lower()))
         node = Node(tag, names, self.node)
         self.node.children.append(node)
+        self.count[tag] += 1
         self.open.append((tag, node))
         self.node, self.run = node, None
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+        if tag != "svg":  # of the hidden elements the only one that may close itself
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         if self.hidden:
             if tag == self.hidden[-1]:
                 self.hidden.pop()
-            return
+                return
+            if tag not in BLOCKS:
+                return
+            self.inside -= 1
+            if self.inside >= 0 or not self.count[tag] or self.hidden[0] == "head":
+                return
+            self.hidden.clear()  # a block around a hidden element that was not closed
         if tag == "br" and self.run is not None:
             self.run.append(" ")
-        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] == tag), 0)
+        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] == tag), 0) if self.count[tag] else 0
         if at and (tag in BLOCKS or not any(n is not None for _, n in self.open[at + 1 :])):
             if tag in ("body", "html"):
                 return
@@ -128,6 +139,7 @@ class _Builder(HTMLParser):
         elif at:  # an inline element around blocks: it ends, they stay open
             if tag == "a":
                 self.links -= 1
+            self.count[tag] -= 1
             del self.open[at]
 
     def handle_data(self, data):

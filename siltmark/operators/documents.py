@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions import paths, ron64
+from siltmark.operators.vectors import heights, reachable
 from siltmark.sources.durable import stored
 
 
@@ -201,3 +202,21 @@ def balances(transfers: DataFrame, key: str, order: str, amount: str) -> DataFra
     """Running balance of each account, and whether it ever went below zero."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return transfers.withColumn("balance", F.sum(amount).over(w)).groupBy(key).agg(F.max_by("balance", order).alias("balance"), (F.min("balance") >= 0).alias("valid"))
+
+
+def merged(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """Merge of two documents' leaves (keys, rev, value): of each path the greatest revision, of equals the greatest value.
+
+    A null value is a removal: it wins by its revision, and the path is then absent. The order of the two, and doing it
+    twice, make no difference.
+    """
+    won = a.select(*keys, "rev", "value").unionByName(b.select(*keys, "rev", "value")).groupBy(*keys).agg(F.max(F.struct("rev", "value")).alias("w"))
+    return won.where("w.value is not null").select(*keys, "w.rev", "w.value")
+
+
+def longest_branch(blocks: DataFrame) -> DataFrame:
+    """The blocks (child, parent) of the longest chain: version, height. Of equally long ones that with the greatest tip."""
+    tall = stored(heights(blocks), "blocks")
+    tip = tall.agg(F.max(F.struct("height", "version")).alias("t")).select("t.version")
+    chain = reachable(blocks.where("parent is not null"), tip.select(F.col("version").alias("tip"), "version"))
+    return tall.join(chain.select("version"), "version", "left_semi")

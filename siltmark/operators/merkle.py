@@ -10,6 +10,8 @@ from siltmark.sources.tables import table
 
 #: Levels that a tree may have, and those that one pass makes.
 LEVELS, FOLD = 32, 10
+#: Bytes of a block.
+BLOCK = 1024
 #: Ranges of keys in which rows are numbered.
 NUMBER_RANGES = 100_000
 ZERO = "0" * 64
@@ -114,3 +116,11 @@ def document_leaves(spark, sf_dir: str) -> tuple[DataFrame, int]:
     """Leaves of the documents by id, and their number."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
     return number(docs, "doc_id"), docs.count()
+
+
+def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Blocks of BLOCK bytes of every text: key, block (from 0), bin (its place among its tree's nodes), hash. An empty text has one."""
+    data = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    cut = df.select(key, data.alias("_b")).select(key, "_b", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("_b") / BLOCK).cast("int") - 1, F.lit(0)))).alias("_i"))
+    part = F.call_function("substring", F.col("_b"), F.col("_i") * BLOCK + 1, F.lit(BLOCK))
+    return cut.select(key, F.col("_i").cast("bigint").alias("block"), bin_number(F.lit(0), F.col("_i").cast("bigint")).alias("bin"), F.sha2(part, 256).alias("hash"))

@@ -65,3 +65,22 @@ def hash_chain(df: DataFrame, value: str, length: int) -> DataFrame:
 
 def hour_key(key: Column, ts: Column) -> Column:
     return F.sha2(F.concat(key, F.date_format(F.date_trunc("HOUR", ts.cast("timestamp")), "yyyy-MM-dd HH")), 256)
+
+
+def forward(chains: DataFrame, messages: DataFrame, length: int) -> DataFrame:
+    """The peer that each message (id, hash) goes to, and the hash that it carries on.
+
+    ``chains``: peer, step, hash of stored chains. A message names A(i + 1); it goes to the peer that announced A(i),
+    of those on several chains to the one nearest. Messages for the first hash of a chain are for the peer itself;
+    those on no chain go nowhere.
+    """
+    back = chains.select("peer", (F.col("step") + 1).alias("step"), F.col("hash").alias("onward"))
+    known = chains.where(F.col("step") <= length).join(back, ["peer", "step"], "left")
+    best = messages.join(known, "hash").groupBy("id").agg(F.min_by(F.struct("peer", "onward"), F.struct("step", "peer")).alias("to"))
+    return best.select("id", "to.peer", "to.onward")
+
+
+def announced(stored_chains: DataFrame, announcements: DataFrame) -> DataFrame:
+    """Announcements (id, hash, step) that are taken: those without a stored hash of as few steps or fewer."""
+    known = stored_chains.groupBy("hash").agg(F.min("step").alias("_known"))
+    return announcements.join(known, "hash", "left").where(F.col("_known").isNull() | (F.col("_known") > F.col("step"))).drop("_known")

@@ -179,3 +179,8 @@ def ancestors(spark, versions: DataFrame, max_depth: int = 100) -> DataFrame:
           SELECT root, root, parent, 0 FROM _versions
           UNION ALL SELECT u.root, v.root, v.parent, u.distance + 1 FROM up u JOIN _versions v ON v.root = u.parent)
         SELECT root, ancestor, distance FROM up""")
+
+
+def releases(made: DataFrame, gone: DataFrame) -> DataFrame:
+    """Releases (name, made) in the order of their names: a name is taken by the first, and deleted ones are left out."""
+    return made.groupBy("name").agg(F.min("made").alias("made")).join(gone.select("name"), "name", "left_anti").orderBy("name")

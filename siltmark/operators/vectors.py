@@ -97,3 +97,28 @@ def closures(edges: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     tips = a.select(F.lit(0).alias("tip"), "version").unionByName(b.select(F.lit(1).alias("tip"), "version"))
     sides = reachable(edges, tips).groupBy("version").agg(F.bool_or(F.col("tip") == 0).alias("_a"), F.bool_or(F.col("tip") == 1).alias("_b"))
     return sides.select("version", F.when(F.col("_a") & F.col("_b"), "both").when(F.col("_a"), "only a").otherwise("only b").alias("side"))
+
+
+def heights(edges: DataFrame) -> DataFrame:
+    """Distance of every version from the one that it begins with: version, height. ``edges``: child, parent.
+
+    A version whose parent is null, or absent, begins.
+
+    Each round doubles the distance that a version looks back, so a chain of n takes log2(n) joins.
+    """
+    held = edges.select(F.col("child").alias("_held"))
+    edges = edges.join(held, F.col("parent") == F.col("_held"), "left").select("child", F.col("_held").alias("parent"))
+    far = stored(edges.select(F.col("child").alias("version"), F.col("parent").alias("up"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("bigint").alias("height")), "heights")
+    while not far.where("up is not null").isEmpty():
+        above = far.select(F.col("version").alias("_v"), F.col("up").alias("_up"), F.col("height").alias("_h"))
+        far = stored(far.join(above, F.col("up") == F.col("_v"), "left").select("version", F.col("_up").alias("up"), (F.col("height") + F.coalesce("_h", F.lit(0))).alias("height")), "heights")
+    return far.select("version", "height")
+
+
+def stack_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Entries (key, place, item) of two stacks of a name that are not in their common beginning: with the side that has them."""
+    both = a.select(key, "place", F.col("item").alias("_a")).join(b.select(key, "place", F.col("item").alias("_b")), [key, "place"], "full_outer")
+    first = both.where(~F.col("_a").eqNullSafe(F.col("_b"))).groupBy(key).agg(F.min("place").alias("_first"))
+    left = both.join(first, key).where(F.col("place") >= F.col("_first"))
+    sides = F.array(F.struct(F.lit("a").alias("side"), F.col("_a").alias("item")), F.struct(F.lit("b").alias("side"), F.col("_b").alias("item")))
+    return left.select(key, "place", F.inline(sides)).where("item is not null")

@@ -78,3 +78,32 @@ def internal_key(key, offset):
     """Sort key of a version as hex: the key, a zero byte, and the offset so inverted that newer sorts first."""
     inverted = F.lpad(F.hex(F.lit((1 << 63) - 1) - offset), 16, "0")
     return F.concat(F.hex(F.encode(key, "UTF-8")), F.lit("00"), inverted)
+
+
+def lookup(log: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each wanted key (key): whether any version of it is stored, and its newest live value (null without one).
+
+    The log is cut down to the wanted keys before versions are grouped.
+    """
+    keys = wanted.select("key").distinct()
+    held = log.join(keys, "key", "left_semi").groupBy("key").agg(F.max(F.struct("offset", "value", "is_tombstone")).alias("v"))
+    live = F.when(~F.col("v.is_tombstone"), F.col("v.value"))
+    return keys.join(held, "key", "left").select("key", F.col("v").isNotNull().alias("contained"), live.alias("value"))
+
+
+def compaction(files: DataFrame, level: int, width: int) -> DataFrame:
+    """What compacting a level merges: files (file, level, first, last) with their role, and whether tombstones may go.
+
+    All files of level 0, or of a deeper level the one that meets most files of the next (the first of equals); and
+    the files of the next level that its inputs' whole range meets. Tombstones may go where no deeper file meets it.
+    """
+    own, rest = files.where(F.col("level") == level), files.where(F.col("level") > level)
+    if level:
+        met = overlaps(own, rest.where(F.col("level") == level + 1), width).groupBy("file").agg(F.count("*").alias("n"))
+        best = own.join(met, "file", "left").orderBy(F.desc(F.coalesce("n", F.lit(0))), "file").limit(1).select("file")
+        own = own.join(best, "file", "left_semi")
+    reach = F.broadcast(own.agg(F.min("first").alias("_first"), F.max("last").alias("_last")))
+    hit = rest.crossJoin(reach).where("first <= _last and last >= _first").drop("_first", "_last")
+    bottom = F.broadcast(hit.where(F.col("level") > level + 1).agg((F.count("*") == 0).alias("drop_tombstones")))
+    merged = own.withColumn("role", F.lit("input")).unionByName(hit.where(F.col("level") == level + 1).withColumn("role", F.lit("target")))
+    return merged.select("file", "level", "role").crossJoin(bottom)

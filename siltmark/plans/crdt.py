@@ -245,4 +245,19 @@ def class_grab(spark, d):
     return out.select("o_orderkey", "c_name", "n_name", "r_name")
 
 
+_STACKS_SQL = "s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place, event_id AS item FROM events), a AS (SELECT * FROM s WHERE place <= 40), b AS (SELECT user_id, place, CASE WHEN place > 20 + user_id % 15 THEN -item ELSE item END AS item FROM s WHERE place <= 30 + user_id % 9)"
+
+
+@R.query(
+    f"""WITH {_STACKS_SQL}, j AS (SELECT user_id, place, a.item AS x, b.item AS y FROM a FULL JOIN b USING (user_id, place)), f AS (SELECT user_id, min(place) AS first FROM j WHERE x IS DISTINCT FROM y GROUP BY 1)
+SELECT user_id, place, side, item FROM (SELECT user_id, place, 'a' AS side, x AS item FROM j UNION ALL SELECT user_id, place, 'b', y FROM j) JOIN f USING (user_id) WHERE place >= first AND item IS NOT NULL"""
+)
+def stack_difference(spark, d):
+    """Files of two stacks beyond what they have in common from the bottom up."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint")
+    rows = table(spark, d, "events").select("user_id", place.alias("place"), F.col("event_id").alias("item"))
+    b = rows.where("place <= 30 + user_id % 9").withColumn("item", F.when(F.col("place") > 20 + F.col("user_id") % 15, -F.col("item")).otherwise(F.col("item")))
+    return vectors.stack_difference(rows.where("place <= 40"), b, "user_id")
+
+
 QUERIES, ORACLES = R.queries, R.oracles

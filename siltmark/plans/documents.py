@@ -169,4 +169,28 @@ def ledger_balances(spark, d):
     return documents.balances(rows, "account", "event_id", "amount")
 
 
+@R.query(
+    """WITH e AS (SELECT user_id AS k, event_type AS path, event_id % 60 AS rev, CASE WHEN event_id % 8 = 0 THEN NULL ELSE CAST(round(value * 10) AS BIGINT) END AS value, event_id FROM events),
+w AS (SELECT k, path, max(struct_pack(rev := rev, has := value IS NOT NULL, value := value)) AS w FROM e GROUP BY ALL) SELECT k, path, w.rev AS rev, w.value AS value FROM w WHERE w.value IS NOT NULL"""
+)
+def document_merge(spark, d):
+    """Two halves of every document's changes, merged path by path."""
+    e = F.col("event_id")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("path"), (e % 60).alias("rev"), F.when(e % 8 != 0, F.round(F.col("value") * 10).cast("bigint")).alias("value"), "event_id")
+    return documents.merged(rows.where("event_id % 3 = 0"), rows.where("event_id % 3 <> 0"), "k", "path")
+
+
+@R.query(
+    """WITH RECURSIVE b AS (SELECT event_id AS child, CASE WHEN event_id % 100 > 0 THEN event_id - least(event_id % 100, 1 + event_id % 100 % 3) WHEN event_id % 1000 = 0 THEN -7 END AS parent FROM events),
+h AS (SELECT child AS version, 0::BIGINT AS height FROM b WHERE parent IS NULL OR parent NOT IN (SELECT child FROM b) UNION ALL SELECT b.child, height + 1 FROM h JOIN b ON b.parent = h.version),
+t AS (SELECT arg_max(version, struct_pack(h := height, v := version)) AS version FROM h), c AS (SELECT version FROM t UNION SELECT b.parent FROM c JOIN b ON b.child = c.version WHERE b.parent IS NOT NULL)
+SELECT version, height FROM h WHERE version IN (FROM c)"""
+)
+def longest_branch(spark, d):
+    """Blocks of the longest of many branching chains."""
+    e = F.col("event_id")
+    blocks = table(spark, d, "events").select(e.alias("child"), F.when(e % 100 > 0, e - F.least(e % 100, 1 + e % 100 % 3)).when(e % 1000 == 0, -7).alias("parent"))
+    return documents.longest_branch(blocks)
+
+
 QUERIES, ORACLES = R.queries, R.oracles

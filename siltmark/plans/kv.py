@@ -147,4 +147,29 @@ def snapshot_horizon(spark, d):
     return live.agg(F.min("o").alias("horizon"), F.count("*").alias("n_snapshots"))
 
 
+@R.query(f"""WITH {KV_LOG_SQL}, w AS (SELECT 'user/' || c_custkey AS key FROM customer), l AS (SELECT key, arg_max(value, "offset") AS value, arg_max(is_tombstone, "offset") AS gone FROM kv_log GROUP BY key)
+SELECT w.key, l.key IS NOT NULL AS contained, CASE WHEN NOT gone THEN value END AS value FROM w LEFT JOIN l ON l.key = w.key""")
+def kv_lookup(spark, d):
+    """Point lookups of a set of keys."""
+    wanted = table(spark, d, "customer").select(F.concat(F.lit("user/"), F.col("c_custkey").cast("string")).alias("key"))
+    return versioned.lookup(kv_log(spark, d), wanted)
+
+
+_LEVELS_SQL = """v AS (SELECT 'b' || o_orderkey // 900 AS file, 1 AS level, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY ALL UNION ALL
+SELECT 'c' || o_orderkey // 250, 2, min(o_orderkey), max(o_orderkey) FROM orders WHERE o_orderkey % 9 < 7 GROUP BY ALL UNION ALL SELECT 'e' || o_orderkey // 5000, 3, min(o_orderkey), max(o_orderkey) FROM orders WHERE o_orderkey > 4000 GROUP BY ALL)"""
+
+
+@R.query(
+    f"""WITH {_LEVELS_SQL}, p AS (SELECT a.file, any_value(a.first) AS first, any_value(a.last) AS last FROM v a LEFT JOIN v b ON b.level = 2 AND a.first <= b.last AND b.first <= a.last WHERE a.level = 1 GROUP BY a.file ORDER BY count(b.file) DESC, a.file LIMIT 1),
+h AS (SELECT v.* FROM v, p WHERE v.level > 1 AND v.first <= p.last AND v.last >= p.first), d AS (SELECT count(*) = 0 AS drop_tombstones FROM h WHERE level > 2)
+SELECT file, level, role, drop_tombstones FROM (SELECT file, 1 AS level, 'input' AS role FROM p UNION ALL SELECT file, level, 'target' FROM h WHERE level = 2), d"""
+)
+def compaction_pick(spark, d):
+    """Files that compacting level 1 merges."""
+    orders = table(spark, d, "orders")
+    files = lambda df, letter, width, level: df.groupBy(F.concat(F.lit(letter), F.floor(F.col("o_orderkey") / width).cast("string")).alias("file")).agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")).withColumn("level", F.lit(level))
+    every = files(orders, "b", 900, 1).unionByName(files(orders.where("o_orderkey % 9 < 7"), "c", 250, 2)).unionByName(files(orders.where("o_orderkey > 4000"), "e", 5000, 3))
+    return versioned.compaction(every, 1, 1000)
+
+
 QUERIES, ORACLES = R.queries, R.oracles

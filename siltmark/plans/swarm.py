@@ -93,4 +93,36 @@ def hourly_key(spark, d):
     return table(spark, d, "events").select("event_id", swarm.hour_key(F.concat(F.lit("user"), F.col("user_id").cast("string")), F.col("ts")).alias("key"))
 
 
+@R.query(
+    f"""WITH RECURSIVE {_CHAIN_SQL}, m AS (SELECT peer * 10 + step AS id, hash FROM c WHERE (peer + step) % 3 <> 0 UNION ALL SELECT -peer, sha256('none' || peer) FROM c WHERE step = 1)
+SELECT CAST(m.id AS BIGINT) AS id, k.peer, b.hash AS onward FROM m JOIN c k ON k.hash = m.hash LEFT JOIN c b ON b.peer = k.peer AND b.step = k.step - 1"""
+)
+def route_forward(spark, d):
+    """Next peer of messages that name a hash of a chain, and the hash before it."""
+    chain = route_chain(spark, d)
+    messages = chain.where("(peer + step) % 3 <> 0").select((F.col("peer") * 10 + F.col("step")).alias("id"), "hash")
+    messages = messages.unionByName(chain.where("step = 1").select((-F.col("peer")).alias("id"), F.sha2(F.concat(F.lit("none"), F.col("peer").cast("string")), 256).alias("hash")))
+    return swarm.forward(chain, messages, 5)
+
+
+@R.query(f"WITH RECURSIVE {_CHAIN_SQL} SELECT CAST(peer AS BIGINT) AS id FROM c WHERE step = 3 AND peer % 2 = 1 UNION ALL SELECT -CAST(peer AS BIGINT) FROM c WHERE step = 3 AND peer % 5 = 0")
+def route_register(spark, d):
+    """Announcements that are not of a longer path than one that is known, or of as long a one."""
+    chain = route_chain(spark, d)
+    near = chain.where("step = 3").select(F.col("peer").alias("id"), "hash", F.when(F.col("peer") % 2 == 1, 2).otherwise(4).cast("bigint").alias("step"))
+    new = chain.where("step = 3 and peer % 5 = 0").select((-F.col("peer")).alias("id"), F.sha2(F.concat("hash", F.lit("x")), 256).alias("hash"), F.lit(9).cast("bigint").alias("step"))
+    return swarm.announced(chain, near.unionByName(new)).select("id")
+
+
+@R.query(
+    """WITH f AS (SELECT source AS feed, count(*) AS files FROM documents GROUP BY 1), s AS (SELECT DISTINCT c_nationkey AS reader, 'src' || c_custkey % 30 AS feed FROM customer)
+SELECT reader, feed, coalesce(files, 0) AS files FROM s LEFT JOIN f USING (feed)"""
+)
+def feed_subscriptions(spark, d):
+    """Feeds that readers subscribe to, with the number of files that are here."""
+    files = table(spark, d, "documents").groupBy(F.col("source").alias("feed")).agg(F.count("*").alias("files"))
+    wanted = table(spark, d, "customer").select(F.col("c_nationkey").alias("reader"), F.concat(F.lit("src"), (F.col("c_custkey") % 30).cast("string")).alias("feed")).distinct()
+    return wanted.join(files, "feed", "left").select("reader", "feed", F.coalesce("files", F.lit(0)).alias("files"))
+
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -273,4 +273,24 @@ def content_dedup(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+@R.query(
+    """WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), p AS (SELECT doc_id, b, unnest(generate_series(0, greatest((octet_length(b) + 1023) // 1024 - 1, 0))) AS i FROM t)
+SELECT doc_id, i AS block, 2 * i AS bin, sha256(b[i * 1024 + 1:(i + 1) * 1024]) AS hash FROM p"""
+)
+def block_hashes(spark, d):
+    """Leaves of every text's hash tree: blocks of 1 KiB."""
+    return merkle.blocks(table(spark, d, "documents"), "doc_id", "text")
+
+
+@R.query(
+    """WITH r AS (SELECT 'v' || p_size || '.' || p_partkey % 10 AS name, p_partkey AS made FROM part), c AS (SELECT name, min(made) AS made FROM r GROUP BY 1)
+SELECT name, made FROM c WHERE name NOT IN (SELECT 'v' || p_size || '.3' FROM part)"""
+)
+def release_list(spark, d):
+    """Releases by name: of those created under one name the first counts, and some are deleted."""
+    made = table(spark, d, "part").select(F.concat(F.lit("v"), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string")).alias("name"), F.col("p_partkey").alias("made"))
+    gone = table(spark, d, "part").select(F.concat(F.lit("v"), F.col("p_size").cast("string"), F.lit(".3")).alias("name")).distinct()
+    return tree.releases(made, gone)
+
+
 QUERIES, ORACLES = R.queries, R.oracles

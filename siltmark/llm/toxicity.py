@@ -8,7 +8,7 @@ highest of its windows' scores.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltmark.sources.durable import stored
+
 #: Words of a window, and words from one window's start to the next.
 WINDOW, STRIDE = 64, 48
 #: Rows of the word table and of the n-gram table, width of each, units in each direction and in the attention.
@@ -170,21 +172,29 @@ class Network:
 def windows_of(rows: np.ndarray) -> np.ndarray:
     """Overlapping windows of a document's word rows, as (n, WINDOW) padded with 0; all words are covered."""
     n = len(rows)
-    count = 1 if n <= WINDOW else 1 + -(-(n - WINDOW) // STRIDE)
-    padded = np.zeros((count - 1) * STRIDE + WINDOW, np.int64)
+    padded = np.zeros((window_count(n) - 1) * STRIDE + WINDOW, np.int64)
     padded[:n] = rows
-    return padded[np.arange(count)[:, None] * STRIDE + np.arange(WINDOW)]
+    return padded[np.arange(window_count(n))[:, None] * STRIDE + np.arange(WINDOW)]
+
+
+def window_count(n: int) -> int:
+    """Windows of a document of ``n`` words."""
+    return 1 if n <= WINDOW else 1 + -(-(n - WINDOW) // STRIDE)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
+def train(texts: Iterable[str], labels: list[int], seed: int = 7) -> Network:
     """Fit a network to labelled texts. The highest window of each text carries its label.
 
-    The first epochs take texts of few windows only, where the label says most about the window.
+    The first epochs take texts of few windows only, where the label says most about the window. Of a text only the
+    numbers of its words are kept (4 bytes a word), and of words one entry for each distinct one.
     """
     net, draw = Network(seed), np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
     vocabulary: dict[bytes, int] = {}
-    cut = [windows_of(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in d], np.int64)) for d in docs]
+    docs = []
+    for text in texts:
+        words = words_of(text)
+        docs.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in words), np.int32, len(words)))
+    counts = np.array([window_count(len(d)) for d in docs])
     y = np.array(labels, np.float32)
     if not vocabulary or len(set(labels)) < 2:
         net.p["bias"][:] = -6.0 if not len(y) or y.mean() < 0.5 else 6.0
@@ -197,23 +207,22 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
     weight = np.minimum(weight, 3.0).astype(np.float32)
     for epoch in range(EPOCHS):
-        fits = np.array([i for i, c in enumerate(cut) if len(c) <= (4 if epoch < 2 else 10 if epoch < 4 else 1 << 30)])
+        fits = np.flatnonzero(counts <= (4 if epoch < 2 else 10 if epoch < 4 else 1 << 30))
         draw.shuffle(fits)
         rate = 0.02 * (1 - epoch / EPOCHS) + 0.002
         for at in range(0, len(fits), 48):
             chosen = fits[at : at + 48]
-            index = np.concatenate([cut[i] for i in chosen])
-            owner = np.repeat(np.arange(len(chosen)), [len(cut[i]) for i in chosen])
+            index = np.concatenate([windows_of(docs[i]) for i in chosen])
+            owner = np.repeat(np.arange(len(chosen)), counts[chosen])
             used, local = np.unique(index, return_inverse=True)
             local = local.reshape(index.shape)
             if used[0] != 0:
                 used, local = np.concatenate([[0], used]), local + 1
             ids = used[1:] - 1
-            counts = (ends - begins)[ids]
-            flat = np.repeat(begins[ids] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-            own = grams[flat]
-            offsets = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            x = np.concatenate([net.p["word"][word[ids]], np.add.reduceat(net.p["gram"][own], offsets, axis=0) / counts[:, None].astype(np.float32) * 2], axis=1)
+            n_grams = (ends - begins)[ids]
+            offsets = np.concatenate([[0], np.cumsum(n_grams)[:-1]])
+            own = grams[np.repeat(begins[ids] - offsets, n_grams) + np.arange(n_grams.sum())]
+            x = np.concatenate([net.p["word"][word[ids]], np.add.reduceat(net.p["gram"][own], offsets, axis=0) / n_grams[:, None].astype(np.float32) * 2], axis=1)
             table = np.concatenate([np.zeros((1, 6 * UNITS), np.float32), net.project(x)])
             if len(owner) > len(chosen):
                 logits = net.forward(table, local.T)
@@ -237,7 +246,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 net.p[k] -= (rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-            for k, rows, g in (("word", word[ids], d_x[:, :WIDTH]), ("gram", own, np.repeat(d_x[:, WIDTH:] * (2 / counts[:, None].astype(np.float32)), counts, axis=0))):
+            for k, rows, g in (("word", word[ids], d_x[:, :WIDTH]), ("gram", own, np.repeat(d_x[:, WIDTH:] * (2 / n_grams[:, None].astype(np.float32)), n_grams, axis=0))):
                 seen, place = np.unique(rows, return_inverse=True)
                 total_g = np.zeros((len(seen), WIDTH), np.float32)
                 np.add.at(total_g, place, g)
@@ -327,20 +336,31 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame) -> Network:
 
     At most SAMPLE_TOXIC and SAMPLE_CLEAN texts of at most SAMPLE_CHARS come to the driver, chosen by a hash of the
     id, so the sample is the same however the tables are partitioned. Labels that are null, or without a
-    document, are not used; of repeated ids every row counts. Without both classes all scores are the same.
+    document, are not used; of repeated ids every row counts, within the bounds. Texts come one partition at a time
+    and are numbered as they come. Without both classes all scores are the same.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).where("_id is not null and _y is not null").where(~held_out("_id"))
     share = documents.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
     # the ids are chosen first, so that only texts of the sample travel
-    ids = known.join(share.select(F.col("doc_id").alias("_id")), "_id").withColumn("_h", F.xxhash64("_id"))
-    chosen = ids.where("_y = 1").orderBy("_h", "_id").limit(SAMPLE_TOXIC).unionAll(ids.where("_y <> 1").orderBy("_h", "_id").limit(SAMPLE_CLEAN))
-    rows = share.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_h", "_id", "text", F.col("_y").cast("int").alias("y")).collect()
-    rows.sort(key=lambda r: (r[0], r[1], r[2]))
-    return train([r[2] for r in rows], [int(r[3] == 1) for r in rows])
+    ids = known.join(share.select(F.col("doc_id").alias("_id")), "_id").select("_id", (F.col("_y") == 1).cast("int").alias("_y")).distinct().withColumn("_h", F.xxhash64("_id"))
+    order = ["_h", "_id"]
+    chosen = ids.where("_y = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionAll(ids.where("_y = 0").orderBy(*order).limit(SAMPLE_CLEAN))
+    drawn = share.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(*order, "text", F.col("_y").alias("y"))
+    # ids that repeat bring more rows than ids
+    order.append("text")
+    drawn = stored(drawn.where("y = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionAll(drawn.where("y = 0").orderBy(*order).limit(SAMPLE_CLEAN)), "toxicity_sample")
+    labels_of: list[int] = []
+
+    def texts() -> Iterator[str]:
+        for row in drawn.orderBy(*order, "y").toLocalIterator():
+            labels_of.append(row[3])
+            yield row[2]
+
+    return train(texts(), labels_of)
 
 
 def score_toxicity(documents: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of every whole text: doc_id, held_out, score (0 to 1), predicted (score >= THRESHOLD).
+    """Scores of every whole text: doc_id, held_out, score (0 to 1), predicted (score >= THRESHOLD), text_hash.
 
     Null and empty texts get the score of an empty window. Null ids are scored and count as not held out; tied and
     repeated ids are scored row by row; other columns are ignored; an empty table gives no rows.
@@ -352,7 +372,7 @@ def score_toxicity(documents: DataFrame, net: Network, id_col: str = "doc_id", t
         own = _scorer(blob.value)
         for batch in batches:
             score = own.scores([x.as_py() or "" for x in batch.column(2)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32)), batch.column(3)], ["doc_id", "held_out", "score", "predicted", "text_hash"])
 
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, text_hash bigint")

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import sized, stored
+from siltmark.llm.common import keyed, sized
+from siltmark.sources.durable import stored
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
@@ -42,22 +43,16 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return found.select(F.xxhash64("words").alias("window_id"), "words", "items")
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """Rows under a key that repeated or null ids share only if their texts are equal too."""
-    text = F.col("text").cast("string")
-    return documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t"))
-
-
 def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """How often each of ``terms`` (one column, term) occurs in the texts; terms that do not occur are absent."""
     # outer, or the words would be cut twice: once to see whether there are any; the join drops the null of an empty text
-    seen = _keyed(documents).select(F.explode_outer(words(F.col("_t"))).alias("term"))
+    seen = keyed(documents).select(F.explode_outer(words(F.col("_t"))).alias("term"))
     return seen.join(sized(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """The positional index for ``terms``: term, _d, _h (the document's key), pos (from 0)."""
-    seen = _keyed(documents).select("_d", "_h", F.posexplode_outer(words(F.col("_t"))).alias("pos", "term"))
+    seen = keyed(documents).select("_d", "_h", F.posexplode_outer(words(F.col("_t"))).alias("pos", "term"))
     return seen.join(sized(terms), "term", "left_semi").select("term", "_d", "_h", "pos")
 
 
@@ -85,12 +80,12 @@ def phrase_matches(documents: DataFrame, phrases: DataFrame, probes: int = PROBE
         other = index.select("term", "_d", "_h", "pos")
         probe = F.coalesce(F.get("p", F.lit(k)), F.get("p", F.lit(0)))  # a phrase of fewer terms meets its first list again
         found = found.withColumn("term", probe["term"]).withColumn("pos", F.col("start") + probe["place"]).join(other, ["_d", "_h", "term", "pos"], "left_semi")
-    sites = found.select("_d", "_h", "start", "window_id").join(sized(phrases), "window_id")
-    sites = stored(sites.groupBy("_d", "_h").agg(F.collect_set(F.struct("start", "length", "window_id", "words")).alias("sites")), "candidates")
-    texts = _keyed(documents).join(sized(sites), ["_d", "_h"]).dropDuplicates(["_d", "_h"])
-    texts = texts.withColumn("w", words(F.col("_t")))
-    exact = F.filter("sites", lambda s: F.slice(F.col("w"), s["start"] + 1, s["length"]) == s["words"])
-    return texts.select("_d", "_h", F.explode(F.transform(exact, lambda s: F.struct(s["start"], s["length"], s["window_id"]))).alias("s")).select("_d", "_h", "s.*")
+    # places alone travel to the texts; the words that stand there come back and meet the phrases
+    sites = stored(found.groupBy("_d", "_h").agg(F.collect_set(F.struct("start", "length", "window_id")).alias("sites")), "candidates")
+    texts = keyed(documents).join(sized(sites), ["_d", "_h"]).select("_d", "_h", "sites", words(F.col("_t")).alias("w"))
+    there = F.transform("sites", lambda s: F.struct(s["start"], s["length"], s["window_id"], F.slice(F.col("w"), s["start"] + 1, s["length"]).alias("there")))
+    read = texts.select("_d", "_h", F.explode(there).alias("s")).select("_d", "_h", "s.*")
+    return read.join(sized(phrases.select("window_id", "words")), "window_id").where("there = words").select("_d", "_h", "start", "length", "window_id").distinct()
 
 
 def proximity_matches(documents: DataFrame, terms: list[str], slop: int) -> DataFrame:
@@ -119,7 +114,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """How far each document repeats benchmark items.
 
     One row per input row: doc_id, n_words, n_hit (words inside an occurring window), n_items, items_sha256,
-    contaminated (n_hit > 0 and 20 * n_hit >= n_words). Null and empty texts have no words; items without words have
+    contaminated (n_hit > 0 and 20 * n_hit >= n_words), text_hash. Null and empty texts have no words; items without words have
     no window; repeated items count once; a null item id hits words but is not listed. Rows that repeat a doc_id, or
     have none, are judged by their own text. Other columns are ignored; an empty table gives no rows.
     """
@@ -133,8 +128,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     listed = hits.select("_d", "_h", "window_id").distinct().join(sized(cut.select("window_id", "items")), "window_id")
     listed = listed.select("_d", "_h", F.explode("items").alias("item")).groupBy("_d", "_h").agg(F.array_sort(F.collect_set("item")).alias("items"))
     verdicts = stored(n_hit.join(listed, ["_d", "_h"], "left"), "verdicts")
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("_t"))
-    rows = rows.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("_d"), F.xxhash64("_t").alias("_h"), F.size(words(F.col("_t"))).cast("bigint").alias("n_words"))
+    rows = keyed(documents).select("doc_id", "_d", "_h", F.size(words(F.col("_t"))).cast("bigint").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(verdicts, ["_d", "_h"], "left").select(
@@ -144,6 +138,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (HIT_SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.col("_h").alias("text_hash"),
     )
 
 

@@ -1,12 +1,17 @@
 """Corpus operators against brute force on small tables, with null, empty, long, tied and repeated rows."""
 
 import hashlib
+import html as html_module
+import re
+import string
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -167,47 +172,106 @@ def test_similar_pairs(spark):
     assert got == want and got
 
 
-def test_sentence_spans(spark, docs, empty):
-    out = {(r.doc_id, r.text): r for r in sentence_spans.remove_repeats(docs).collect()}
-    assert len(sentence_spans.remove_repeats(docs).collect()) == len(rows())
-    data = sorted(((i if i is not None else -1, t or "") for i, t in rows()), key=lambda x: x[0])
+def sentences_by_hand(text):
+    """Sentences as (end, words), character by character: no part of the operator is used but its constants."""
+    ends = [k + 1 for k, c in enumerate(text) if c == "\n" or c in ".!?" and (k + 1 == len(text) or text[k + 1].isspace())]
+    out, at = [], 0
+    for end in [*ends, len(text)]:
+        places, k = [], at
+        while k < end:
+            if text[k].isspace():
+                k += 1
+                continue
+            j = k
+            while j < end and not text[j].isspace():
+                j += 1
+            places.append((text[k:j], j))
+            k = j
+        at = end
+        if not places:
+            continue
+        cuts = set()
+        if len(places) > 24:
+            hashes = [xxhash.xxh64_intdigest(w.encode()) for w, _ in places]
+            for i in range(len(hashes) - 7):
+                cuts.add(hashes.index(min(hashes[i : i + 8]), i))
+        held = []
+        for i, (w, j) in enumerate(places):
+            held.append(w)
+            if i in cuts or i == len(places) - 1:
+                out.append((j, tuple(held)))
+                held = []
+    return out
+
+
+def repeats_by_hand(data):
+    """What remove_repeats returns for rows (doc_id, text), comparing spans word by word."""
+    key = lambda i: -(1 << 63) if i is None else i
+    cut = [sentences_by_hand(t or "") for _, t in data]
+    runs = []
+    for found in cut:
+        own = {}
+        for i in range(len(found)):
+            words = [w for _, s in found[i:] for w in s]
+            for e in range(i + 1, len(found) + 1):
+                n = sum(len(s) for _, s in found[i:e])
+                if (e - i >= 2 or len(found) == 1) and n >= 20:
+                    own[i] = (e, tuple(s for _, s in found[i:e]))
+                    break
+            assert len(words) >= 1
+        runs.append(own)
     first = {}
-    for i, t in data:
-        for a, _, h in sentence_spans.spans(sentence_spans.sentences(t)):
-            first[h] = min(first.get(h, (i, a)), (i, a))
-    for i, t in data:
-        found = sentence_spans.sentences(t)
-        gone = set()
-        for a, e, h in sentence_spans.spans(found):
-            if first[h] != (i, a):
-                gone |= set(range(a, e))
+    for (d, _), own in zip(data, runs, strict=True):
+        for i, (_, g) in own.items():
+            first[g] = min(first.get(g, (key(d), i)), (key(d), i))
+    out = []
+    for (d, t), found, own in zip(data, cut, runs, strict=True):
+        gone = {k for i, (e, g) in own.items() if (key(d), i) > first[g] for k in range(i, e)}
         kept, at = "", 0
-        for k, (_, e, _, _) in enumerate(found):
-            kept += "" if k in gone else t[at:e]
-            at = e
-        kept += t[at:]
-        row = out[(i if i >= 0 else None, kept)]
-        assert row.n_removed == len(gone) and row.n_sentences == len(found)
-    passage = prose(1000, 60)
-    five = next(r for r in out.values() if r.doc_id == 5)
-    assert five.n_removed_words >= 25 and passage not in five.text
+        for k, (e, _) in enumerate(found):
+            kept, at = kept + ("" if k in gone else t[at:e]), e
+        out.append((d, len(found), len(gone), sum(len(found[k][1]) for k in gone), kept + (t or "")[at:]))
+    return sorted(out, key=str)
+
+
+def test_sentence_spans(spark, docs, empty):
+    more = [(30, prose(40, 90)), (31, prose(41, 70) + ". " + prose(40, 90)), (32, "word " * 30), (33, "word " * 30), (34, "Short one. Another short one here.\n" * 9), (35, " ".join(f"w{k}" for k in range(22))), (36, " ".join(f"w{k}" for k in range(22)) + "\n"), (40, prose(5, 6000)[3000:9000])]
+    data = rows() + more
+    out = sentence_spans.remove_repeats(frame(spark, data))
+    assert sorted((tuple(r) for r in out.collect()), key=str) == repeats_by_hand(data)
+    five = next(r for r in out.collect() if r.doc_id == 5)
+    assert five.n_removed_words >= 25 and prose(1000, 60) not in five.text
     assert sentence_spans.remove_repeats(empty).count() == 0
 
 
+def test_sentence_spans_parts(spark, monkeypatch):
+    """Many parts give what one part gives."""
+    monkeypatch.setattr(sentence_spans, "PART_BYTES", 3000)
+    data = [(i, prose(i % 7, 120) + "\n" + prose(i, 60) + " " + prose(50 + i % 3, 70)) for i in range(40)]
+    got = sorted((tuple(r) for r in sentence_spans.remove_repeats(frame(spark, data)).collect()), key=str)
+    assert got == repeats_by_hand(data) and sum(r[2] > 0 for r in got) > 30
+
+
+def test_whole_sentences_stay_whole():
+    """Sentences of LONG_SENTENCE words are never cut, longer ones into pieces of at most WORD_CUT."""
+    text = " ".join(f"w{k}" for k in range(23)) + " end.\n" + " ".join(f"v{k}" for k in range(100)) + "! Last"
+    counts = [n for _, _, n in sentence_spans.sentences(text)]
+    assert counts[0] == 24 and max(counts[1:-1]) <= sentence_spans.WORD_CUT and sum(counts) == 125 and counts[-1] == 1
+
+
 def test_passages_hold_spans(spark):
-    """Every passage of over 50 words holds a span wherever it stands, whatever its words are."""
-    plain = [w for w in (f"{a}{b}" for a in "bcdfghjklm" for b in range(60)) if sentence_spans._cuts[w]]
+    """Every passage of over 50 words that ends with a sentence holds a span wherever it stands, whatever its words are."""
+    plain = [f"{a}{b}" for a in "bcdfghjklm" for b in range(60)]
     draw = np.random.default_rng(5)
     hashes = lambda t: {h for _, _, h in sentence_spans.spans(sentence_spans.sentences(t))}
-    for k in range(300):
-        passage = prose(k, 51) if k % 3 == 0 else " ".join(draw.choice(plain, 51)) if k % 3 == 1 else " ".join(list(draw.choice(plain, 1 + k % 7)) * 51).split(" ", 51)[:51]
-        passage = passage if isinstance(passage, str) else " ".join(passage)
+    for k in range(400):
+        words = list(draw.choice(WORDS if k % 2 else plain, 51)) if k % 5 else (list(draw.choice(plain, 1 + k % 7)) * 51)[:51]
+        passage = " ".join(w + ("." if draw.random() < (0, 0.03, 0.1, 0.3)[k % 4] else "") for w in map(str, words)) + "."
         around = [" ".join(draw.choice(plain, n)) for n in draw.integers(0, 40, 4)]
-        assert hashes(f"{around[0]} {passage} {around[1]}") & hashes(f"{around[2]}\n{passage}\n{around[3]}"), passage
-    assert all(s[3] <= sentence_spans.WORD_CUT for s in sentence_spans.sentences(" ".join(plain)))
+        assert hashes(f"{around[0]} {passage} {around[1]}") & hashes(f"{around[2]} {passage}\n{around[3]}"), passage
     text = " ".join(draw.choice(plain, 300))
     out = {r.doc_id: r for r in sentence_spans.remove_repeats(frame(spark, [(1, text), (2, text)])).collect()}
-    assert out[1].n_removed == 0 and out[2].n_removed_words > 280
+    assert out[1].n_removed == 0 and out[2].n_removed_words == 300
 
 
 def contamination_by_hand(data, items):
@@ -241,7 +305,7 @@ def contamination_by_hand(data, items):
 def test_contamination(spark, docs, empty):
     items = [(1, prose(1, 200).upper()[:300]), (2, "one two"), (3, None), (4, ""), (5, prose(77, 30)), (10, "one two"), (2, "one two"), (None, "Éa THE"), (6, prose(5, 6000)[1000:1200]), (7, "the the the")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = sorted((tuple(r) for r in decontamination.contamination(docs, bench).collect()), key=str)
+    got = sorted((tuple(r) for r in decontamination.contamination(docs, bench).drop("text_hash").collect()), key=str)
     assert got == contamination_by_hand(rows(), items)
     assert decontamination.contamination(empty, bench).count() == 0
     assert not any(r.contaminated for r in decontamination.contamination(docs, bench.where("item_id > 99")).collect())
@@ -280,50 +344,54 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch):
     assert suffix_dedup.remove_repeated_bytes(empty, False).count() == 0
 
 
-def test_suffix_shards_merge():
-    """An anchor of more texts than a shard holds is split and merged by binary search."""
+@pytest.mark.parametrize(("part", "shard"), [(2000, 20_000), (1500, 6), (1 << 20, 6)])
+def test_suffix_parts_and_shards(spark, monkeypatch, part, shard):
+    """Many parts, slices and shards, and anchors of more windows than a shard holds, give what brute force gives."""
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", part)
+    monkeypatch.setattr(suffix_dedup, "SHARD_TEXTS", shard)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 2500)
+    monkeypatch.setattr(suffix_dedup, "WINDOW_SLICE_BYTES", 1800)
+    line = "a line that very many of these documents share, word by word."
+    data = rows() + [(100 + i, prose(60 + i % 9, 40) + f" {i} " + line + f" {i * 7} " + prose(i, 8)) for i in range(60)]
+    data += [(None, line + line), (150, "ab" * 200), (151, "b" + "ab" * 90 + line), (161, "z" * 400), (162, "yz" + "z" * 200)]
+    # executors' processes read the module anew: the operator's functions carry the values of the driver
+    out = suffix_dedup.remove_repeated_bytes(frame(spark, data).repartition(3, "doc_id"), False)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == removed_by_hand(data)
+
+
+def test_sorted_strings_merge():
     draw = np.random.default_rng(2)
-    rows_ = np.zeros((400, suffix_dedup.SPAN + 4), np.uint8)
-    rows_[:, : suffix_dedup.SPAN] = draw.integers(97, 99, (1, suffix_dedup.SPAN))
-    rows_[np.arange(400), draw.integers(0, 20, 400)] = 0
-    rows_[:, suffix_dedup.SPAN] = suffix_dedup.STARTS
-    documents, keys = draw.permutation(400).astype(np.int64), np.zeros(400, np.uint64)
-    whole = suffix_dedup.resolve(rows_, documents, keys)
-    before = suffix_dedup.SHARD_TEXTS
-    try:
-        suffix_dedup.SHARD_TEXTS = 70
-        assert (suffix_dedup.resolve(rows_, documents, keys) == whole).all()
-    finally:
-        suffix_dedup.SHARD_TEXTS = before
-    first = {}
-    for r, d in zip(rows_, documents, strict=True):
-        for j in range(suffix_dedup.STARTS):
-            g = r[j : j + 50].tobytes()
-            first[g] = min(first.get(g, d), d)
-    want = [sum(1 << j for j in range(suffix_dedup.STARTS) if first[r[j : j + 50].tobytes()] < d) for r, d in zip(rows_, documents, strict=True)]
-    assert whole.tolist() == want
+    lists, want = [], {}
+    for k in range(7):
+        strings = np.sort(draw.choice([b"%04d" % i for i in range(300)], 80 * (k > 0)).astype("S4"))
+        low = draw.integers(0, 1000, len(strings))
+        lists.append((strings, low))
+        for g, d in zip(strings, low, strict=True):
+            want[g] = min(want.get(g, d), d)
+    strings, low = suffix_dedup.merged(lists)
+    assert strings.tolist() == sorted(want) and low.tolist() == [want[g] for g in sorted(want)]
 
 
 def test_suffix_array_and_common_prefixes():
     draw = np.random.default_rng(4)
-    rows_ = draw.integers(1, 4, (30, 24)).astype(np.int16)
-    rows_[:, 23] = 0
-    order, _ = suffix_dedup.suffix_array(rows_)
-    rows_[5:9] = rows_[20]
-    for at in range(30):
-        rows_[at, draw.integers(5, 24) :] = 0
-    order, _ = suffix_dedup.suffix_array(rows_)
-    tail = lambda p: ([x for x in rows_[p // 24, p % 24 :].tolist() if x], p)
-    assert order.tolist() == sorted(range(rows_.size), key=tail)
-    common_ = suffix_dedup.kasai(rows_, order, 23)
-    for k in range(1, len(order)):
-        a, b = order[k - 1], order[k]
-        if b % 24 < 23:
-            x, y = tail(a)[0], tail(b)[0]
-            n = 0
-            while n < min(len(x), len(y)) and x[n] == y[n]:
-                n += 1
-            assert common_[b // 24, b % 24] == n
+    for letters in (2, 4, 256):
+        texts = [draw.integers(1, letters + 1, draw.integers(1, 40)).tolist() for _ in range(40)]
+        texts[5:9] = [texts[20]] * 4
+        symbols = np.array([x for t in texts for x in [*t, 0]], np.int16)
+        sizes = np.array([len(t) + 1 for t in texts])
+        begins = np.cumsum(sizes) - sizes
+        order = suffix_dedup.suffix_array(symbols, np.repeat(begins + sizes - 1, sizes))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        tail = lambda p: texts[owner[p]][p - begins[owner[p]] :]
+        assert order.tolist() == sorted(range(len(symbols)), key=lambda p: (tail(p), p))
+        columns = sizes - 1
+        common_ = suffix_dedup.kasai(symbols, order, begins, columns)
+        for k in range(1, len(order)):
+            t, j = owner[order[k]], order[k] - begins[owner[order[k]]]
+            if j < columns[t]:
+                x, y = tail(order[k - 1]), tail(order[k])
+                n = next((i for i, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), min(len(x), len(y)))
+                assert common_[t, j] == n
 
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -403,10 +471,60 @@ def test_html_marginals_are_exact():
     assert model.infer(nodes)[0] == pytest.approx([o / total for o in one], abs=1e-9)
 
 
+def article_by_hand(html):
+    """Main text of a page whose article is an <article>, by cutting the text up: no part of the operator is used."""
+    inside = re.search(r"<article\b[^>]*>(.*?)</article>", html, re.S)
+    if not inside:
+        return ""
+    body = re.sub(r"<!--.*?-->", "", inside[1], flags=re.S)
+    for tag in ("script", "style", "aside", "nav", "form", "footer", "header"):
+        body = re.sub(rf"<{tag}\b[^>]*>.*?</{tag}>", "<p>", body, flags=re.S)
+    body = re.sub(r"<div class=\"?(?:ad|promo|comments|related|share)[^>]*>.*?</div>", "<p>", body, flags=re.S)
+    body = re.sub(r"<[bh]r\s*/?>", " ", body)
+    blocks = re.split(r"</?(?:p|h[1-6]|li|ul|ol|div|section|blockquote|pre|table|tr|td|th|figure|figcaption)\b[^>]*>", body)
+    blocks = [" ".join(re.sub(r"\s+", " ", html_module.unescape(re.sub(r"<[^>]+>", "", b))).split(" ")).strip() for b in blocks]
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_html_of_all_pages(spark):
+    """The query's texts on a whole table against cutting by hand."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in html_extraction.extract_main_text(pages).collect()}
+    rows_ = pages.collect()
+    assert len(got) == len(rows_) == 250
+    for r in rows_:
+        want = article_by_hand(r.html)
+        assert got[r.page_id] == (r.url, want, len(want)), r.page_id
+    assert sum(bool(x[1]) for x in got.values()) > 200
+
+
 def test_html_rows(spark):
-    data = [(1, "u", "<article><p>text here</p></article>", 3), (None, None, None, 4), (1, "u", "", 5)]
-    out = html_extraction.extract_main_text(spark.createDataFrame(data, "page_id bigint, url string, html string, text int")).collect()
-    assert sorted((str(r.page_id), r.text, r.n_chars) for r in out) == [("1", "", 0), ("1", "text here", 9), ("None", "", 0)]
+    data = [(1, "u", "<article><p>text here</p></article>", 3), (None, None, None, 4), (1, "u", "", 5), (1, "u", "<article><p>text here</p></article>", 3), (2, "v", "<article>" + "<p>same words</p>" * 20_000 + "</article>", 6)]
+    schema = "page_id bigint, url string, html string, text int"
+    out = html_extraction.extract_main_text(spark.createDataFrame(data, schema)).collect()
+    want = [("1", "", 0), ("1", "text here", 9), ("1", "text here", 9), ("2", "\n\n".join(["same words"] * 20_000), 20_000 * 12 - 2), ("None", "", 0)]
+    assert sorted((str(r.page_id), r.text, r.n_chars) for r in out) == want
+    assert html_extraction.extract_main_text(spark.createDataFrame([], schema).coalesce(1)).count() == 0
+
+
+def test_html_of_messy_pages():
+    model = html_extraction.train(html_extraction.page_sample())
+    text = lambda x: html_extraction.main_text(x, model)
+    assert text("<html><head><title>t</title><article><h1>Head</h1><p>is never closed here</p></article>") == "Head\n\nis never closed here"
+    assert text("<body><article><div><button>Press</div><p>after an open button</p></article>") == "after an open button"
+    assert text("<body><article><p>a <svg/> drawing <math><mi>x</mi></math> here</p></article>") == "a drawing x here"
+    assert text("<body><article><noscript><div>no</div></noscript><p>words</p></article>") == "words"
+
+
+def test_html_takes_linear_time():
+    """Deep nesting, open inline elements and stray tags do not make a page slow."""
+    for piece in ("<div>", "<div><p>", "<b><p>", "<li>x", "</td>", "<div><li>"):
+        times = []
+        for n in (5_000, 20_000):
+            began = time.process_time()
+            html_extraction.parse(piece * n)
+            times.append(time.process_time() - began)
+        assert times[1] < 9 * max(times[0], 0.05), piece
 
 
 def test_secrets(docs, empty):
@@ -414,8 +532,73 @@ def test_secrets(docs, empty):
     base = secrets.base_spans(text)
     assert [text[s:e] for s, _, e in base] == ['password = "abcdefghijkl', "AKIA" + "A1" * 8, "0a" * 9]
     assert secrets.scan_secrets(empty).count() == 0
-    out = secrets.scan_secrets(docs).collect()
-    assert len(out) == len(rows())
+    assert len(secrets.scan_secrets(docs).collect()) == len(rows())
+
+
+def base_by_hand(text):
+    """Base spans, character by character."""
+    out, n = [], len(text)
+    run = lambda i, ok: next((j for j in range(i, n) if text[j] not in ok), n)
+    letters, digits = string.ascii_letters, string.digits
+    at = 0
+    while at < n:  # assign
+        hit = 0
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[at : at + len(name)].isascii() and text[at : at + len(name)].lower() == name:
+                i = at + len(name)
+                i += i < n and text[i] in "\"'"
+                i = run(i, " ")
+                if i < n and text[i] in ":=":
+                    i = run(i + 1, " ")
+                    i += i < n and text[i] in "\"'"
+                    end = run(i, letters + digits + "+/_.=-")
+                    if end > i:
+                        hit = end
+                        if end - i >= 12:
+                            out.append((at, 0, end))
+                        break
+        at = max(hit, at + 1)
+    for kind, head, ok, least in ((1, "AKIA", string.ascii_uppercase + digits, 18), (2, "", digits + "abcdef", 16)):
+        at = 0
+        while at < n:
+            end = run(at + len(head), ok) if text.startswith(head, at) else at
+            if end > at + len(head):
+                if end - at >= least:
+                    out.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_secret_rows(spark):
+    """All columns of the query against scanning by hand, with planted credentials of several parts."""
+    key = "AKIA" + "Q7" * 8
+    random_ = ["Zk3vQ9xT1mB7wL5pR8sD2f", "Hq7Lw2Xc9Vb4Nm1Zt6Yp3Kd8"]
+    parts = [f"{key} then {random_[0]}", f"login: bob.smith, {random_[1]}, see https://host.example/api", f"login: bob.smith and {random_[1]} alone", f"{key}\n\n{random_[0]}", f"{random_[0]} alone"]
+    linked = [1, 3, 0, 0, 0]
+    odd = ["password=" + "a" * 12, "TOKEN := 'x'", "api-key=abcdefghijklmnop", "Secret=token: ABCDEFGHIJKLMNOP", "passwd = \"" + "b" * 40, "K\u212aey secret=" + "c" * 13, "é" * 30 + "apikey:" + "0f" * 20, "deadbeef" * 2, None, "", "password=password=abcdefghijkl"]
+    data = rows() + [(100 + i, prose(i, 30) + " " + p + " " + prose(i + 1, 300)) for i, p in enumerate(parts)] + [(200 + i, x) for i, x in enumerate(odd)] + [(100, prose(0, 30) + " " + parts[0] + " " + prose(1, 300))]
+    got = secrets.scan_secrets(frame(spark, data)).collect()
+    want = []
+    for d, text in data:
+        base = base_by_hand(text or "")
+        spans = sorted({*base, *linked_by_hand(text or "")})
+        show = lambda found: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in found)
+        want.append((d, *[sum(k == i for _, k, _ in base) for i in range(3)], hashlib.sha256(show(base).encode()).hexdigest(), show(spans), len(spans) - len(base)))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    by_id = {r.doc_id: r.n_linked for r in got if r.doc_id is not None}
+    assert [by_id[100 + i] for i in range(len(parts))] == linked
+
+
+def test_secrets_take_linear_time():
+    times = []
+    for n in (3_000, 12_000):
+        text = "\n".join(f"login: user{i} Zk3vQ9xT1mB7wL5pR8sD2f{i} https://h{i}.example/x" for i in range(n))
+        began = time.process_time()
+        secrets.linked_spans(text, secrets.base_spans(text))
+        times.append(time.process_time() - began)
+    assert times[1] < 9 * max(times[0], 0.05)
 
 
 def test_linked_credentials():
@@ -496,6 +679,61 @@ def test_toxicity(spark, docs, empty, monkeypatch):
     assert len({round(r.score, 6) for r in toxicity.score_toxicity(docs, flat).collect()}) == 1
 
 
+def score_by_hand(net, text):
+    """Highest window score of a text, one window and one word at a time, in plain numbers."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    u, best = toxicity.UNITS, None
+    words = text.lower().split()
+    starts = [0]
+    while starts[-1] + toxicity.WINDOW < len(words):
+        starts.append(starts[-1] + toxicity.STRIDE)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for s in starts:
+        x = [net.inputs([w.encode()])[0].astype(np.float64) for w in words[s : s + toxicity.WINDOW]]
+        states = []
+        for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            h, out = np.zeros(u), {}
+            for t in order:
+                g, r = x[t] @ p[f"w{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+                z, reset = sigmoid(g[:u] + r[:u]), sigmoid(g[u : 2 * u] + r[u : 2 * u])
+                new = np.tanh(g[2 * u :] + reset * r[2 * u :])
+                h = out[t] = (1 - z) * new + z * h
+            states.append(out)
+        both = [np.concatenate([states[0][t], states[1][t]]) for t in range(len(x))]
+        e = np.exp([np.tanh(v @ p["att"]) @ p["att_v"] for v in both])
+        pooled = sum(w * v for w, v in zip(e / e.sum(), both, strict=True)) if both else np.zeros(2 * u)
+        score = sigmoid(pooled @ p["out"] + p["bias"][0])
+        best = score if best is None else max(best, score)
+    return best
+
+
+def test_toxicity_rows(spark, docs):
+    """All columns of all rows - null, empty, long, tied, repeated - against scoring by hand; the sample's bounds."""
+    table, labels = toxic_table(spark, 200)
+    net = toxicity.fit_toxicity(table, labels)
+    data = rows() + [(r.doc_id + 5000, r.text) for r in table.limit(40).collect()]
+    got = sorted((str(r.doc_id), r.text_hash, r.held_out, r.score, r.predicted) for r in toxicity.score_toxicity(frame(spark, data), net).collect())
+    hashes = {r.text: r.h for r in frame(spark, data).selectExpr("text", "xxhash64(text) as h").collect()}
+    want = sorted((str(d), hashes[t], d is not None and zlib.crc32(str(d).encode()) % 3 == 1, score_by_hand(net, t or "")) for d, t in data)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-4)
+    assert all(g[4] == (g[3] >= 0.7) for g in got)
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """A labelled id that very many rows have does not bring them all to the driver; held-out labels do not matter."""
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 5)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 7)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, seed=7: seen.append((list(texts), list(labels))))
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1]
+    table = frame(spark, [(ids[0], f"text {i}") for i in range(50)] + [(i, f"own {i}") for i in range(1, 100)])
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(100)] + [(ids[0], 0, ids[0] % 2)] * 3, "doc_id bigint, quality int, toxic int")
+    toxicity.fit_toxicity(table, labels)
+    toxicity.fit_toxicity(table, labels.selectExpr("doc_id", "quality", "case when crc32(cast(cast(doc_id as string) as binary)) % 3 = 1 then 1 - toxic else toxic end as toxic"))
+    assert seen[0] == seen[1] and seen[0][1].count(1) == 5 and seen[0][1].count(0) == 7
+
+
 def test_toxicity_gradients():
     """The hand-written backward pass agrees with finite differences."""
     net = toxicity.Network(3)
@@ -552,3 +790,24 @@ def test_pipeline(spark, tmp_path):
     own = bpe.codec(PATH, PATTERN)
     want = sorted((i, hashlib.sha256(own.encode_bytes(t or "")).hexdigest()) for i, t in left.items())
     assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """An empty table; rows without an id and rows that repeat one are judged by their own text."""
+    import corpus_pipeline
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    item = prose(99, 40)
+    dirty = prose(98, 20) + " " + item + " " + prose(97, 20)
+    data = [(1, prose(1, 80)), (1, dirty), (2, prose(2, 80)), (2, prose(2, 80)), (None, prose(3, 80)), (None, dirty), (None, None), (3, ""), (4, None), (5, prose(5, 4000)), (6, prose(1, 80) + " more")]
+    for name, rows_ in (("empty", []), ("odd", data)):
+        folder = tmp_path / name
+        frame(spark, rows_).coalesce(1).select(columns).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(folder / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    own = bpe.codec(PATH, PATTERN)
+    digest = lambda t: hashlib.sha256(own.encode_bytes(t or "")).hexdigest()
+    left = [x for x in data if x[1] != dirty and x[0] != 6]
+    got = sorted((str(r.doc_id), r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect())
+    assert got == sorted((str(i), digest(t)) for i, t in left)

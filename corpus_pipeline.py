@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.llm import bpe, decontamination, near_dedup, secrets, toxicity
-from siltmark.llm.common import stored, table
+from siltmark.llm.common import table
+from siltmark.sources.durable import stored
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not in ``rejected``; rows without a doc_id stay."""
-    return docs.join(rejected.select(F.col("doc_id").alias("_rejected")).distinct(), F.col("doc_id") == F.col("_rejected"), "left_anti")
+    """Rows that are not in ``rejected`` (doc_id, text_hash): rows that repeat an id, or have none, go by their own text."""
+    gone = rejected.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: that of the smallest doc_id."""
+    """One document of each group of near-copies: that of the smallest doc_id. Rows without a doc_id stay."""
     groups = stored(near_dedup.near_duplicates(docs), "groups")
-    return _without(docs, groups.where("not kept"))
+    return docs.join(groups.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +35,18 @@ def add(index: DataFrame, more: DataFrame, removed: DataFrame) -> DataFrame:
 def search(logs: DataFrame, index: DataFrame, text: str = "", **equal: str) -> DataFrame:
     """Logs that have every token of ``text`` and equal the given day, level or source; newest first.
 
-    Each condition is a semi-join with one bucket; without conditions all logs are found; an unknown bucket has none.
-    Every candidate is then checked against its own fields.
+    The wanted buckets are read in one pass over the index; an id that all of them hold is a candidate, and every
+    candidate is then checked against its own fields. Without conditions all logs are found; an unknown bucket has none.
     """
-    spark = logs.sparkSession
-    wanted = [t for t in spark.range(1).select(F.explode(tokens(F.lit(text))).alias("t")).toPandas()["t"]] if text else []
-    found = logs
-    for name, value in [*equal.items(), *(("term", t) for t in wanted)]:
-        bucket = index.where((F.col("index") == name) & (F.col("key") == value)).select("id")
-        found = found.join(bucket, "id", "left_semi")
+    # letters, digits, _ and - make up a token, as in tokens()
+    wanted = sorted({t for t in re.split(r"[^\w-]+", text.lower()) if t})
+    found, buckets_ = logs, [*equal.items(), *(("term", t) for t in wanted)]
+    if buckets_:
+        hit = F.lit(False)
+        for name, value in buckets_:
+            hit = hit | ((F.col("index") == name) & (F.col("key") == value))
+        ids = index.where(hit).groupBy("id").agg(F.count_distinct("index", "key").alias("n")).where(F.col("n") == len(set(buckets_))).select("id")
+        found = found.join(ids, "id", "left_semi")
     for t in wanted:
         found = found.where(F.contains(F.lower(haystack()), F.lit(t)))
     for name, value in equal.items():

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltmark.llm.common import sole_cache
+
 #: Entries of a worker's cache of encoded pieces; beyond it the cache starts anew.
 CACHE_PIECES = 300_000
 #: Entries of a worker's cache of answers for two tokens side by side.
@@ -150,7 +152,7 @@ class PieceCache(dict):
         elif len(data) > LONG_PIECE:
             prefix = PrefixTable(self.vocabulary)
             prefix.append(data)
-            out = b"".join([self.written[t] for t in prefix.tokens()])
+            return b"".join([self.written[t] for t in prefix.tokens()])  # not kept, so that what is kept is bounded in bytes
         else:
             out = self._walk(data)
         if len(self) >= CACHE_PIECES:
@@ -226,8 +228,8 @@ class Codec:
 class EditableEncoding:
     """The encoding of a text that grows or changes.
 
-    Keeps the pieces and a prefix table for each. After ``replace`` only the pieces from just before the edit to
-    the first old border that is met again are split anew; a piece that grew at its end reuses its table.
+    Keeps the pieces and a prefix table for each. ``replace`` splits the text anew from just before the edit on; pieces
+    that are there already keep their tables, and one that grew at its end appends to its own.
     """
 
     def __init__(self, codec: Codec, text: str = ""):
@@ -306,6 +308,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, id_col: str
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids binary" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("bpe", codec.cache_clear)
         own = codec(path, pattern)
         for batch in batches:
             counts, hashes, decoded, blobs = [], [], [], []

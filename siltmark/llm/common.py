@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +62,19 @@ def part_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield part, held
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def sole_cache(name: str, clear: Callable[[], None]) -> None:
+    """Say, in a worker process, that ``name`` keeps a cache from now on: what other operators keep there is dropped.
+
+    Spark reuses workers from one stage to the next, and their caches would add up.
+    """
+    for other in [n for n in _kept if n != name]:
+        _kept.pop(other)()
+    _kept[name] = clear
+
+
 def packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import components, sized
+from siltmark.llm.common import components, sized, sole_cache
 from siltmark.sources.durable import stored
 
 #: Words of a shingle.
@@ -111,6 +111,7 @@ def signatures(documents: DataFrame) -> DataFrame:
     """For every document: doc_id, n_shingles, c1, c2 (digest of the set), sig (K * B bits; null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("shingles", _words.clear)
         for batch in batches:
             sizes, first, second, sigs = [], [], [], []
             for text in batch.column(1):
@@ -262,6 +263,7 @@ def confirmed_edges(clusters: DataFrame, texts: DataFrame) -> DataFrame:
     rows = texts.join(sized(dealt), "id")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("shingles", _words.clear)
         for keys, ids, found in _runs(batches, 256):
             sets = [shingles(t) for t in found]
             a, b = [], []

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import dealt, keyed, packed, part_count, part_runs
+from siltmark.llm.common import dealt, keyed, packed, part_count, part_runs, sole_cache
 
 #: A span is the shortest run from a sentence on with at least so many sentences and so many words.
 SPAN_SENTENCES, SPAN_WORDS = 2, 20
@@ -163,6 +163,7 @@ def _places(docs: np.ndarray, found: np.ndarray, parts: int) -> list[tuple]:
 
 def _send(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("spans", _hashes.clear)
         for whole in batches:
             for at in range(0, whole.num_rows, 10_000):
                 batch = whole.slice(at, 10_000)

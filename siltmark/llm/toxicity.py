@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltmark.llm.common import sole_cache
 from siltmark.sources.durable import stored
 
 #: Words of a window, and words from one window's start to the next.
@@ -369,6 +370,7 @@ def score_toxicity(documents: DataFrame, net: Network, id_col: str = "doc_id", t
     blob = documents.sparkSession.sparkContext.broadcast(pickle.dumps(net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("toxicity", _scorer.cache_clear)
         own = _scorer(blob.value)
         for batch in batches:
             score = own.scores([x.as_py() or "" for x in batch.column(2)])

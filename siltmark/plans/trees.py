@@ -171,11 +171,16 @@ def conflict_rate(spark, d):
     return merged.agg(F.count("*").alias("merges"), F.count_if("conflict").alias("conflicts")).select("merges", "conflicts", F.round(F.lit(100.0) * F.col("conflicts") / F.col("merges"), 4).alias("percent"))
 
 
+def _chain(turns):
+    """Versions of the turns of conversations, each with the turn before as its parent."""
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    return turns.select(F.struct("conv_id", "turn").alias("root"), F.when(known, F.struct("conv_id", (F.col("turn") - 1).alias("turn"))).alias("parent"))
+
+
 @R.query("WITH RECURSIVE v AS (SELECT conv_id, turn FROM conversations), u AS (SELECT conv_id, turn AS last, turn FROM v UNION ALL SELECT u.conv_id, u.last, v.turn FROM u JOIN v ON v.conv_id = u.conv_id AND v.turn = u.turn - 1) SELECT conv_id, last, turn AS ancestor, last - turn AS distance FROM u")
 def version_log(spark, d):
     """Every version with all of its ancestors."""
-    turns = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("root"), F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("parent"))
-    up = tree.ancestors(spark, turns)
+    up = tree.ancestors(spark, _chain(table(spark, d, "conversations")))
     return up.select("root.conv_id", F.col("root.turn").alias("last"), F.col("ancestor.turn").alias("ancestor"), F.col("distance").cast("bigint").alias("distance"))
 
 
@@ -189,9 +194,8 @@ def version_commits(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
     carried = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id").orderBy("turn"))
     versions = turns.withColumn("_made", carried).select("conv_id", "turn", F.when(F.col("_made").isNotNull(), F.sha2(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("_made").cast("string")), 256)).alias("commit"))
-    chain = turns.select(F.struct("conv_id", "turn").alias("root"), F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("parent"))
-    log = tree.ancestors(spark, chain).select("root.conv_id", F.col("root.turn").alias("last"), F.col("ancestor.turn").alias("turn"), "distance")
-    log = log.join(turns.groupBy("conv_id").agg(F.max("turn").alias("last")), ["conv_id", "last"], "left_semi")
+    tips = turns.groupBy("conv_id").agg(F.max("turn").alias("turn")).select(F.struct("conv_id", "turn").alias("root"))
+    log = tree.ancestors(spark, _chain(turns), tips).select("root.conv_id", F.col("root.turn").alias("last"), F.col("ancestor.turn").alias("turn"), "distance")
     return tree.commits_only(log, versions, "conv_id", "last").select("conv_id", "last", "turn", "commit")
 
 

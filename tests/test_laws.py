@@ -101,6 +101,20 @@ def test_tree_round_trip(spark):
     assert {(r.path, r.status) for r in tree.diff(objects, moved).collect()} == {("", "changed"), ("b", "changed")}
 
 
+def test_ancestors_of_long_chains(spark):
+    """A chain of any length, a branch, one start alone; a version listed twice; a cycle is an error."""
+    rows = [(i, i - 1 if i else None) for i in range(150)] + [(200, 3)]
+    versions = spark.createDataFrame(rows, "root bigint, parent bigint")
+    got = sorted(map(tuple, tree.ancestors(spark, versions).collect()))
+    assert got == sorted([(i, j, i - j) for i in range(150) for j in range(i + 1)] + [(200, 200, 0)] + [(200, j, 4 - j) for j in range(4)])
+    one = tree.ancestors(spark, versions, spark.createDataFrame([(200,)], "root bigint"))
+    assert sorted(map(tuple, one.collect())) == [(200, 0, 4), (200, 1, 3), (200, 2, 2), (200, 3, 1), (200, 200, 0)]
+    twice = spark.createDataFrame([(1, None), (1, None), (2, 1), (2, 1)], "root bigint, parent bigint")
+    assert sorted(map(tuple, tree.ancestors(spark, twice).collect())) == [(1, 1, 0)] * 2 + [(2, 1, 1)] * 4 + [(2, 2, 0)] * 2
+    with pytest.raises(RuntimeError):
+        tree.ancestors(spark, spark.createDataFrame([(1, 2), (2, 1)], "root bigint, parent bigint"))
+
+
 def test_merkle(spark):
     import hashlib
 

@@ -69,7 +69,7 @@ def few_recursive_rows(spark):
     spark.conf.unset("spark.sql.cteRecursionRowLimit")
 
 
-@pytest.mark.parametrize("name", ["tree_check", "tree_ls", "version_commits"])
+@pytest.mark.parametrize("name", ["tree_check", "tree_ls", "version_commits", "version_log"])
 def test_no_recursive_rows(spark, few_recursive_rows, name):
     """Queries that follow trees and chains meet no limit on recursive rows."""
     assert compare(spark, name, catalogue.ORACLES[name])

@@ -166,20 +166,31 @@ def decode_leaf(record: Column) -> tuple[Column, Column, Column]:
     return tuple(F.when(whole, found[x]) for x in ("tag", "key", "value"))
 
 
+def _records(stream: bytes | None) -> list[tuple[str, str, str]] | None:
+    """Records of a stream, each read where the one before ends; none if the last is not whole."""
+    if stream is None:
+        return None
+    at, out = 0, []
+    while at < len(stream):
+        tag = stream[at : at + 1]
+        body = at + (2 if tag in b"abnos" else 6)
+        if tag not in b"abnosABNOS" or body > len(stream):
+            return None
+        n, m = divmod(stream[at + 1], 16) if body == at + 2 else (stream[at + 5], int.from_bytes(stream[at + 1 : at + 5], "little"))
+        if body + n + m > len(stream):
+            return None
+        out.append((tag.decode(), stream[body : body + n].decode(), stream[body + n : body + n + m].decode()))
+        at = body + n + m
+    return out
+
+
 def decode_records(data: Column) -> Column:
-    """Records that follow one another: array of (tag, key, value), in order; null if the last is not whole."""
-    empty = F.array().cast("array<struct<tag:string,key:string,value:string>>")
-
-    def step(state: Column, _: Column) -> Column:
-        found = _record_at(data, state["at"])
-        more = state["at"] < F.octet_length(data)
-        grown = F.concat(state["out"], F.array(F.struct(found["tag"].alias("tag"), found["key"].alias("key"), found["value"].alias("value"))))
-        return F.struct(F.when(more, found["end"]).otherwise(state["at"]).alias("at"), F.when(more, grown).otherwise(state["out"]).alias("out"))
-
-    # a record has two bytes at least
-    turns = F.sequence(F.lit(1), F.greatest(F.floor(F.octet_length(data) / 2).cast("int"), F.lit(1)))
-    end = F.aggregate(turns, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
-    return F.when(end["at"] == F.octet_length(data), end["out"])
+    """Records that follow one another: array of (tag, key, value), in order; null if the last is not whole.
+
+    Each record begins where the one before ends, so a stream is read once by a helper in the task that has it: its
+    time grows with its bytes.
+    """
+    return F.udf(_records, "array<struct<tag:string,key:string,value:string>>", useArrow=True)(data)
 
 
 def same(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -228,6 +228,19 @@ def test_records_cut_short(spark):
     assert [None if x is None else [(r.tag, r.key, r.value[:5]) for r in x] for x in got] == [[("S", "k", "vvvvv"), ("n", "key", "12")], None, None, None, [], [("n", "key", "12")] * 3]
 
 
+def test_long_streams_take_linear_time(spark):
+    """Two hundred thousand records in one stream; a cut end gives none."""
+    import time
+
+    began = time.perf_counter()
+    stream = spark.range(1).select(F.expr("unhex(repeat('6e116b31', 200000))").alias("s"))
+    got = stream.select(F.posexplode(documents.decode_records(F.col("s"))).alias("place", "x")).agg(F.count("*").alias("n"), F.max("place").alias("last"), F.count_if(F.expr("x.tag = 'n' and x.key = 'k' and x.value = '1'")).alias("right")).first()
+    assert tuple(got) == (200_000, 199_999, 200_000) and time.perf_counter() - began < 30
+    odd = [None, bytes(b"\xffab"), bytes(b"S\x01\x00"), bytes(b"s\x00" * 3), bytes(b"s\x00s")]
+    out = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x binary").select("i", documents.decode_records(F.col("x")).alias("out")).orderBy("i").collect()
+    assert [None if r.out is None else [tuple(x) for x in r.out] for r in out] == [None, None, None, [("s", "", "")] * 3, None]
+
+
 def test_ron64_of_eleven_digits(spark):
     numbers = [0, 63, 64, (1 << 60) - 1, 1 << 60, (1 << 63) - 1]
     rows = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", ron64.encode(F.col("n")).alias("s"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 RECORD = 128
 LAYOUT = (("name", 1, 32), ("login", 33, 16), ("grp", 49, 8), ("practice", 57, 8), ("repo", 65, 59), ("project_mark", 124, 1), ("mark", 125, 4))
 PRACTICES = 8
+#: Lines that a part has, about, when they are put together again.
+PART_LINES = 500_000
 
 ROW = "name string, login string, grp string, practice array<int>, project struct<repo:string,mark:int>, mark float"
 
@@ -100,12 +102,16 @@ def to_lines(rows: DataFrame, place: str) -> DataFrame:
 
 
 def from_lines(lines: DataFrame) -> DataFrame:
-    """Rows of ROW, with place, from lines; lines out of form are left out."""
+    """Rows of ROW, with place, from lines; lines out of form are left out.
+
+    Lines are counted first, and dealt by place to parts of PART_LINES: what a task sorts does not grow with them.
+    """
     # fixed value: the form of a line
     rx = r"^\[(\d+)\]\.([a-z.\[\]0-9]+): (.*)$"
     rows = lines.where(F.col("line").rlike(rx)).select(F.regexp_extract("line", rx, 1).cast("bigint").alias("place"), F.regexp_extract("line", rx, 2).alias("f"), F.regexp_extract("line", rx, 3).alias("v"))
     names = ["name", "login", "grp", "mark", "project.repo", "project.mark"] + [f"practice[{i}]" for i in range(PRACTICES)]
-    wide = rows.groupBy("place").pivot("f", names).agg(F.first("v"))
+    dealt = rows.repartition(lines.count() // PART_LINES + 1, "place")
+    wide = dealt.groupBy("place").agg(*[F.first(F.when(F.col("f") == n, F.col("v")), ignorenulls=True).alias(n) for n in names])
     at = lambda n: F.col(f"`{n}`")
     practice = F.array(*[at(f"practice[{i}]").try_cast("int") for i in range(PRACTICES)])
     project = F.struct(at("project.repo").alias("repo"), at("project.mark").try_cast("int").alias("mark"))

@@ -174,6 +174,16 @@ def test_record_formats(spark, tmp_path):
     assert sorted(map(str, formats.from_json(formats.to_json(rows)).collect())) == want
 
 
+def test_lines_are_dealt_by_their_number(spark, monkeypatch):
+    """Lines go to parts of bounded size before they are grouped; lines out of form, and fields that are absent, stay out."""
+    monkeypatch.setattr(formats, "PART_LINES", 100, raising=False)
+    lines = spark.range(500).select(F.explode(F.array(F.format_string("[%d].name: n%d", "id", "id"), F.format_string("[%d].practice[1]: 1", "id"), F.lit("noise"))).alias("line"))
+    back = formats.from_lines(lines)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(place" in plan and ", 16)" in plan
+    assert {tuple(r) for r in back.select("place", "name", F.col("practice")[1], "login").collect()} == {(i, f"n{i}", 1, None) for i in range(500)}
+
+
 def test_invalid_records(spark):
     bad = [("A\x00B", "a", "g", [0] * 8, ("r", 1), 1.0), ("A", "a", "g", [2] + [0] * 7, ("r", 1), 1.0), ("A", "a", "g", [0] * 8, ("r", 11), 1.0), ("A", "a", "g", [0] * 8, ("r", 1), float("nan")), ("A", "a", "g", [0] * 8, ("r", 1), 10.5)]
     assert spark.createDataFrame(bad, formats.ROW).where(formats.valid()).count() == 0

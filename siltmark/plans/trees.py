@@ -181,7 +181,8 @@ def _chain(turns):
 def version_log(spark, d):
     """Every version with all of its ancestors."""
     up = tree.ancestors(spark, _chain(table(spark, d, "conversations")))
-    return up.select("root.conv_id", F.col("root.turn").alias("last"), F.col("ancestor.turn").alias("ancestor"), F.col("distance").cast("bigint").alias("distance"))
+    last, ancestor = F.col("root.turn"), F.col("ancestor.turn")
+    return up.select("root.conv_id", last.alias("last"), ancestor.alias("ancestor"), (last - ancestor).alias("distance"))
 
 
 @R.query(

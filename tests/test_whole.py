@@ -75,6 +75,17 @@ def test_no_recursive_rows(spark, few_recursive_rows, name):
     assert compare(spark, name, catalogue.ORACLES[name])
 
 
+def test_log_of_odd_versions(spark, tmp_path):
+    """A long chain, a gap, versions listed twice and some without a conversation or a turn: the SQL's rows."""
+    rows = [(0, t) for t in range(150)] + [(1, 0), (1, 1), (1, 1), (1, 2), (1, 4), (2, 0), (2, 0), (2, None), (3, -1), (3, 0), (None, 0), (None, 1), (None, None)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(catalogue.ORACLES["version_log"]).fetchall()
+    got = catalogue.QUERIES["version_log"](spark, str(tmp_path)).select("conv_id", "last", "ancestor", "distance").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_large_directories_take_linear_time(spark):
     """The grammar of a directory of a hundred thousand lines; empty ends are no lines, empty lines are."""
     import time
